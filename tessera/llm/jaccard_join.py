@@ -13,9 +13,9 @@ Allocation by cost: a neighbourhood is taken where it is small, and subsets that
 another subset leads to each of its partners. Sets with more are hard; pairs of two hard sets are
 looked for in the costly subsets as well.
 
-Copies are one class. In each subset's group the classes are compared with the least one first;
-what that leaves in one component needs no comparison, the rest is compared across components. A
-parity bitmap bounds the difference from below, without error, before whole sets are compared.
+Copies are one class. In a few turns the classes of each subset's group are compared with one of
+them; what that leaves in one component needs no comparison, the rest is compared across components
+where enough subsets are shared. A parity bitmap bounds the difference from below, without error, before whole sets are compared.
 """
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ from tessera.llm.common import by_keys, cut, shuffle_partitions, utf8
 from tessera.llm.components import components
 
 #: Larger groups of a subset are costly.
-LIMIT = 64
+LIMIT = 24
+#: Turns in which each group is compared with one of its classes, before the rest is compared across components.
+TURNS = 4
 #: Bands of sets up to so many shingles are indexed under one-deletion neighbourhoods.
 NEIGHBOURHOOD = 48
 #: Bytes hashed at once.
@@ -227,31 +229,31 @@ def sketch(docs: DataFrame, measure: Measure, key: str, text: str) -> DataFrame:
 
 
 def _groups(rows: DataFrame, limit: int) -> DataFrame:
-    """(signature, class, least, costly) of the classes that share a signature with another; the rows stream by, sorted, and no group is held."""
+    """(signature, class, costly) of the classes that share a signature with another; the rows stream by, sorted, and no group is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_s, held_c = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        open_: tuple[int, int, int] | None = None  # a costly group that goes on: signature, least, last class
+        open_: tuple[int, int] | None = None  # a costly group that goes on: signature, last class
 
-        def out(s: np.ndarray, c: np.ndarray, least: np.ndarray, costly: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(s), pa.array(c), pa.array(least), pa.array(costly)], names=["signature", "class", "least", "costly"])
+        def out(s: np.ndarray, c: np.ndarray, costly: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(s), pa.array(c), pa.array(costly)], names=["signature", "class", "costly"])
 
         def whole(s: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
             first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             size = np.diff(np.append(first, s.size))
             each = np.repeat(size, size)
             keep = each > 1
-            return out(s[keep], c[keep], np.repeat(c[first], size)[keep], each[keep] > limit)
+            return out(s[keep], c[keep], each[keep] > limit)
 
         for batch in batches:
             s, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if open_ is not None:
                 n = int(np.searchsorted(s, open_[0], side="right"))
                 mine = c[:n]
-                mine = mine[np.diff(mine, prepend=open_[2]) != 0]
+                mine = mine[np.diff(mine, prepend=open_[1]) != 0]
                 if mine.size:
-                    yield out(np.full(mine.size, open_[0]), mine, np.full(mine.size, open_[1]), np.ones(mine.size, bool))
-                    open_ = (open_[0], open_[1], int(mine[-1]))
+                    yield out(np.full(mine.size, open_[0]), mine, np.ones(mine.size, bool))
+                    open_ = (open_[0], int(mine[-1]))
                 s, c = s[n:], c[n:]
                 if not s.size:
                     continue
@@ -267,13 +269,13 @@ def _groups(rows: DataFrame, limit: int) -> DataFrame:
             held_s, held_c = s[last:], c[last:]
             if held_s.size > limit:
                 yield whole(held_s, held_c)
-                open_ = (int(held_s[0]), int(held_c[0]), int(held_c[-1]))
+                open_ = (int(held_s[0]), int(held_c[-1]))
                 held_s, held_c = held_s[:0], held_c[:0]
         if held_s.size > 1:
             yield whole(held_s, held_c)
 
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "signature").sortWithinPartitions("signature", "class")
-    return dealt.mapInArrow(run, "signature long, class long, least long, costly boolean")
+    return dealt.mapInArrow(run, "signature long, class long, costly boolean")
 
 
 def _near(pairs: DataFrame, known: DataFrame, measure: Measure) -> DataFrame:
@@ -318,16 +320,42 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, measure: Meas
     return joined.select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def _across(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """The (a, b) that share a signature and are in different components: in each group, the classes outside its largest component against all others."""
-    placed = groups.join(found.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    placed = cut(placed.select("signature", "class", "component"), "placed")
+def _placed(groups: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The rows of groups with each class's component."""
+    if found is None:
+        return groups.withColumn("component", F.col("class"))
+    return groups.join(found.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+
+def _stars(groups: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
+    """The (a, b) of a class in each group, another one each turn, and the classes of other components, if they share two signatures.
+
+    As many pairs as rows: what they link, no later step has to compare.
+    """
+    placed = _placed(groups.select("signature", "class"), found)
+    one = F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), F.col("class").alias("star"), F.col("component").alias("own"))
+    centre = placed.groupBy("signature").agg(F.max(one).alias("c"), (F.min("component") < F.max("component")).alias("split")).where("split").select("signature", "c.star", "c.own")
+    pairs = placed.join(centre, "signature").where("component <> own")
+    counted = pairs.groupBy(F.least("class", "star").alias("a"), F.greatest("class", "star").alias("b")).agg(F.count("*").alias("shared"))
+    return counted.where("shared > 1").select("a", "b")
+
+
+def _across(groups: DataFrame, known: DataFrame, found: DataFrame, measure: Measure) -> DataFrame:
+    """The (a, b) of different components that share as many signatures as a link takes: in each group, the classes outside its largest component against all others.
+
+    Linked sets share more signatures than the room of either, less the costly ones if they aren't
+    looked at for both: groups hold the rows of hard classes in costly subsets.
+    """
+    placed = _placed(groups.select("signature", "class"), found)
     sizes = placed.groupBy("signature", "component").agg(F.count("*").alias("size"))
     split = sizes.groupBy("signature").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    mixed = placed.join(split, "signature")
-    other = mixed.where("component <> largest").select("signature", F.col("class").alias("other"), F.col("component").alias("apart"))
-    pairs = mixed.join(other, "signature").where((F.col("component") != F.col("apart")) & ((F.col("component") == F.col("largest")) | (F.col("class") < F.col("other"))))
-    return pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+    mixed = cut(placed.join(split, "signature").join(known.select("class", "n", "room", "weak", "hard"), "class"), "mixed")
+    other = mixed.where("component <> largest").select("signature", F.col("class").alias("other"), F.col("component").alias("apart"), F.col("n").alias("m"), F.col("room").alias("room2"), F.col("weak").alias("weak2"), F.col("hard").alias("hard2"))
+    like = (F.col("n") * measure.denominator >= F.col("m") * measure.numerator) & (F.col("m") * measure.denominator >= F.col("n") * measure.numerator)
+    pairs = mixed.join(other, "signature").where(like & (F.col("component") != F.col("apart")) & ((F.col("component") == F.col("largest")) | (F.col("class") < F.col("other"))))
+    takes = F.least("room", "room2") + 1 - F.when(F.col("hard") & F.col("hard2"), 0).otherwise(F.least("weak", "weak2"))
+    counted = pairs.groupBy(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).agg(F.count("*").alias("shared"), F.max(takes).alias("takes"))
+    return counted.where("shared >= takes").select("a", "b")
 
 
 def link_documents(docs: DataFrame, measure: Measure | None = None, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -344,13 +372,22 @@ def link_documents(docs: DataFrame, measure: Measure | None = None, key: str = "
     first = cut(rows.where(F.col("class").isNotNull() & F.col("_key").isNotNull()).groupBy("class").agg(F.min("_key").alias("first")), "first")
     known = cut(rows.where(F.col("bits").isNotNull()).select("class", "n", "room", "bits").dropDuplicates(["class"]), "known")
     groups = cut(_groups(rows.where(F.col("signatures").isNotNull()).select(F.explode("signatures").alias("signature"), "class"), limit), "groups")
-    stars = groups.where("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct()
-    edges = cut(_verified(_near(stars, known, measure), docs, first, measure, key, text), "links")
-    found = cut(components(edges), "found")
+    edges, found = None, None
+    for turn in range(TURNS):
+        new = _verified(_near(_stars(groups, found, turn), known, measure), docs, first, measure, key, text)
+        new = cut(new, "links")
+        if new.isEmpty():
+            break
+        edges = new if edges is None else edges.unionByName(new)
+        found = cut(components(edges), "found")
+    if edges is None:
+        edges = new
+        found = components(edges)
     weak = groups.where("costly").groupBy("class").agg(F.count("*").alias("weak"))
-    hard = known.join(weak, "class", "left").where(F.coalesce("weak", F.lit(0)) > F.col("room")).select("class")
-    left = groups.where("not costly").select("signature", "class").unionByName(groups.where("costly").select("signature", "class").join(hard, "class", "left_semi"))
-    more = _verified(_near(_across(left, found), known, measure), docs, first, measure, key, text)
+    known = known.join(weak, "class", "left").withColumn("weak", F.coalesce("weak", F.lit(0))).withColumn("hard", F.col("weak") > F.col("room"))
+    known = cut(known, "known")
+    left = groups.where("not costly").select("signature", "class").unionByName(groups.where("costly").select("signature", "class").join(known.where("hard"), "class", "left_semi"))
+    more = _verified(_near(_across(left, known, found, measure), known, measure), docs, first, measure, key, text)
     found = components(edges.unionByName(more))
     least = first.join(found.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = cut(least, "least")
