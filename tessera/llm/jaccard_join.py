@@ -15,7 +15,11 @@ looked for in the costly subsets as well.
 
 Copies are one class. In a few turns the classes of each subset's group are compared with one of
 them; what that leaves in one component needs no comparison, the rest is compared across components
-where enough subsets are shared. A parity bitmap bounds the difference from below, without error, before whole sets are compared.
+where enough subsets are shared. The groups of costly subsets may be large, and their hard classes
+are not paired: each is set against the centre of its group. Of classes near the centre only the
+shingles in which they differ from it count, of the others the whole set; linked ones then share one
+of their rarest shingles, by which the pairs are found. A parity bitmap bounds the difference from
+below, without error, before whole sets are compared.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import by_keys, cut, shuffle_partitions, utf8
@@ -60,6 +64,10 @@ class Measure:
         """The most shingles in which linked sets of these sizes may differ."""
         return (a + b) * (self.denominator - self.numerator) // (self.denominator + self.numerator)
 
+    def reach(self, size: int) -> int:
+        """The most shingles in which a set of this size may differ from a linked one."""
+        return size * (self.denominator - self.numerator) // self.numerator
+
     def bands(self, size: int) -> list[tuple[int, int, int, bool]]:
         """(band, segments, slack, whether deletions count) under which a set is indexed: the band of its size, and those above that a partner may be in."""
         out = []
@@ -288,18 +296,21 @@ def _near(pairs: DataFrame, known: DataFrame, measure: Measure) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: known.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}"))
-    like = (F.col("na") * measure.denominator >= F.col("nb") * measure.numerator) & (F.col("nb") * measure.denominator >= F.col("na") * measure.numerator)
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(like)
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_like("na", "nb", measure))
     return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
+def _texts(classes: DataFrame, docs: DataFrame, first: DataFrame, key: str, text: str) -> DataFrame:
+    """(class, _text) of the first row of each class, fetched once; repeated keys give more rows."""
+    wanted = cut(classes.join(first, "class").select("class", F.col("first").alias("_key")), "wanted")
+    plain = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), utf8(text).alias("_text"))
+    return cut(by_keys(plain, wanted, "_key", "inner").select("class", "_text"), "texts")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, measure: Measure, key: str, text: str) -> DataFrame:
     """The (u, v) among pairs whose whole sets link. Texts of the classes concerned are fetched once each and compared by pairs."""
     pairs = cut(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    wanted = cut(wanted.join(first, "class").select("class", F.col("first").alias("_key")), "wanted")
-    plain = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), utf8(text).alias("_text"))
-    texts = cut(by_keys(plain, wanted, "_key", "inner").select("class", "_text"), "texts")
+    texts = _texts(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), docs, first, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int | None, np.ndarray | None] = (None, None)
@@ -341,23 +352,140 @@ def _stars(groups: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
 
 
 def _across(groups: DataFrame, known: DataFrame, found: DataFrame, measure: Measure) -> DataFrame:
-    """The (a, b) of different components that share as many signatures as a link takes: in each group, the classes outside its largest component against all others.
+    """The (a, b) of different components that share as many signatures, other than costly ones, as a link takes: in each group, the classes outside its largest component against all others.
 
-    Linked sets share more signatures than the room of either, less the costly ones if they aren't
-    looked at for both: groups hold the rows of hard classes in costly subsets.
+    Linked sets share more signatures than the room of either, costly ones included.
     """
     placed = _placed(groups.select("signature", "class"), found)
     sizes = placed.groupBy("signature", "component").agg(F.count("*").alias("size"))
     split = sizes.groupBy("signature").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    mixed = cut(placed.join(split, "signature").join(known.select("class", "n", "room", "weak", "hard"), "class"), "mixed")
-    other = mixed.where("component <> largest").select("signature", F.col("class").alias("other"), F.col("component").alias("apart"), F.col("n").alias("m"), F.col("room").alias("room2"), F.col("weak").alias("weak2"), F.col("hard").alias("hard2"))
-    like = (F.col("n") * measure.denominator >= F.col("m") * measure.numerator) & (F.col("m") * measure.denominator >= F.col("n") * measure.numerator)
-    pairs = mixed.join(other, "signature").where(like & (F.col("component") != F.col("apart")) & ((F.col("component") == F.col("largest")) | (F.col("class") < F.col("other"))))
-    takes = F.least("room", "room2") + 1 - F.when(F.col("hard") & F.col("hard2"), 0).otherwise(F.least("weak", "weak2"))
+    mixed = cut(placed.join(split, "signature").join(known.select("class", "n", "room", "weak"), "class"), "mixed")
+    other = mixed.where("component <> largest").select("signature", F.col("class").alias("other"), F.col("component").alias("apart"), F.col("n").alias("m"), F.col("room").alias("room2"), F.col("weak").alias("weak2"))
+    pairs = mixed.join(other, "signature").where(_like("n", "m", measure) & (F.col("component") != F.col("apart")) & ((F.col("component") == F.col("largest")) | (F.col("class") < F.col("other"))))
+    takes = F.least("room", "room2") + 1 - F.least("weak", "weak2")
     counted = pairs.groupBy(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).agg(F.count("*").alias("shared"), F.max(takes).alias("takes"))
     return counted.where("shared >= takes").select("a", "b")
 
 
+def _like(n: str, m: str, measure: Measure):
+    """Whether sets of sizes n and m may be linked."""
+    return (F.col(n) * measure.denominator >= F.col(m) * measure.numerator) & (F.col(m) * measure.denominator >= F.col(n) * measure.numerator)
+
+
+def _set_against_centres(groups: DataFrame, known: DataFrame, found: DataFrame, measure: Measure) -> DataFrame:
+    """(class, centre, component) for each centre of a split group that a class is in, centre null once where it is far from one.
+
+    A group's centre is the class whose groups are the largest. Let h be the most shingles in which a
+    class may differ from a linked one. Those that differ from the centre c by 3 h(c) at most are near
+    it, those that differ by more than 3 h(c) - h far: a linked pair is near both or far both. The
+    bitmaps rule one of the two out for most; near rows here are those they don't.
+    """
+    placed = cut(_placed(groups.select("signature", "class"), found), "placed")
+    sizes = placed.groupBy("signature").agg(F.count("*").alias("size"), (F.min("component") < F.max("component")).alias("split")).where("split")
+    weights = placed.join(sizes, "signature").groupBy("class").agg(F.sum("size").alias("weight"))
+    centres = placed.join(sizes.select("signature"), "signature").join(weights, "class").groupBy("signature").agg(F.max_by("class", F.struct("weight", "class")).alias("centre"))
+    led = placed.join(centres, "signature").where("class <> centre").select("class", "centre", "component").distinct()
+    side = known.select(F.col("class").alias("centre"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    led = led.join(known.select("class", "n", F.col("bits").alias("x")), "class").join(side, "centre")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(i).to_pylist() for i in range(3, 7))
+            least = [least_difference(p, q) for p, q in zip(x, y, strict=True)]
+            near = [d <= 3 * measure.reach(j) for d, j in zip(least, m, strict=True)]
+            far = [d > 3 * measure.reach(j) - measure.reach(i) for d, i, j in zip(least, n, m, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near, pa.bool_()), pa.array(far, pa.bool_())], names=["class", "centre", "component", "near", "far"])
+
+    told = led.select("class", "centre", "component", "n", "m", "x", "y").mapInArrow(run, "class long, centre long, component long, near boolean, far boolean")
+    told = cut(told, "told")
+    return told.where("near").select("class", "centre", "component").unionByName(told.where("far").select("class", F.lit(None).cast("long").alias("centre"), "component").distinct())
+
+
+_PARTS = "class long, centre long, component long, n long, size long, linked boolean, own int, all int, element long"
+
+
+def _parts(led: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
+    """A row for each shingle in which a class differs from its centre, or of its set without a centre; where a class is linked with its centre, also one without a shingle.
+
+    own, all: so many of its rarest shingles lead to any linked class which is not linked with the
+    centre, and to one that is. Of linked a and b with the differences x and y from the centre c, b
+    not linked with it, y > r (b + c) and |a ^ b| <= r (a + b), where r = (1 - t) / (1 + t): they
+    share more than (x + r (c - a)) / 2, and y - |a ^ b| at least. Rows of a class whose difference
+    is too large to be near are for no centre.
+    """
+    top, bottom = measure.denominator - measure.numerator, measure.denominator + measure.numerator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+
+        def out(rows: list[tuple], elements: list[np.ndarray | None]) -> pa.RecordBatch:
+            lengths = [1 if e is None else e.size for e in elements]
+            columns = [pa.array([r[i] for r in rows], kind).take(pa.array(np.repeat(np.arange(len(rows)), lengths))) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()))]
+            parts = [pa.nulls(1, pa.int64()) if e is None else pa.array(e.view(np.int64)) for e in elements]
+            return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays(parts)], names=["class", "centre", "component", "n", "size", "linked", "own", "all", "element"])
+
+        for batch in batches:
+            rows, elements, held = [], [], 0
+            for number, centre, component, x, y in zip(*(batch.column(i) for i in range(5)), strict=True):
+                number, centre, component = number.as_py(), centre.as_py(), component.as_py()
+                mine = shingle_set(x.as_py(), measure.k)
+                n = int(mine.size)
+                if class_of(mine) != number:  # another row with the same key
+                    continue
+                if centre is None:
+                    own = n + (-n * measure.numerator) // measure.denominator + 1
+                    rows.append((number, None, component, n, n, False, own, own))
+                    elements.append(mine)
+                else:
+                    if centre != last[0]:
+                        theirs = shingle_set(y.as_py(), measure.k)
+                        if class_of(theirs) != centre:
+                            continue
+                        last = (centre, theirs)
+                    c = int(last[1].size)
+                    apart = np.setxor1d(mine, last[1], assume_unique=True)
+                    size, reach = int(apart.size), measure.reach(c)
+                    linked = measure.linked((n + c - size) // 2, n, c)
+                    if linked:
+                        rows.append((number, centre, component, n, size, True, 0, 0))
+                        elements.append(None)
+                    if size <= 3 * reach:
+                        own = size - (size * bottom + (c - n) * top) // (2 * bottom)
+                        rows.append((number, centre, component, n, size, linked, own, min(size, measure.reach(n) + 1)))
+                        elements.append(apart)
+                    if size > 3 * reach - measure.reach(n):
+                        own = n + (-n * measure.numerator) // measure.denominator + 1
+                        rows.append((number, None, component, n, n, False, own, own))
+                        elements.append(mine)
+                held += 0 if not elements or elements[-1] is None else elements[-1].size
+                if held > 1 << 16:
+                    yield out(rows, elements)
+                    rows, elements, held = [], [], 0
+            if rows:
+                yield out(rows, elements)
+
+    wide = led.join(texts.select("class", F.col("_text").alias("x")), "class").join(texts.select(F.col("class").alias("centre"), F.col("_text").alias("y")), "centre", "left")
+    return wide.select("class", "centre", "component", "x", "y").mapInArrow(run, _PARTS)
+
+
+def _crowded(groups: DataFrame, known: DataFrame, found: DataFrame, docs: DataFrame, first: DataFrame, measure: Measure, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Of the hard classes in groups of costly signatures: the (u, v) linked with their centres, and the (a, b) of different components that share a rare enough shingle."""
+    led = cut(_set_against_centres(groups, known, found, measure), "led")
+    parts = _parts(led, _texts(led.select("class").union(led.where("centre IS NOT NULL").select("centre")).distinct(), docs, first, key, text), measure)
+    parts = cut(parts.withColumn("near", F.col("centre").isNotNull()).withColumn("centre", F.coalesce("centre", F.lit(0))), "parts")
+    links = parts.where("element IS NULL").select(F.col("class").alias("u"), F.col("centre").alias("v"))
+    rows = parts.where("element IS NOT NULL").dropDuplicates(["near", "centre", "element", "class"])
+    often = cut(rows.groupBy("near", "centre", "element").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    each = Window.partitionBy("near", "centre", "class")
+    ranked = rows.join(often, ["near", "centre", "element"]).withColumn("place", F.col("size") - F.count("*").over(each) + F.row_number().over(each.orderBy("often", "element")))
+    ranked = cut(ranked.where(F.col("place") <= F.greatest("own", "all")), "ranked")
+    left = ranked.where("place <= own").select("near", "centre", "element", "class", "component", "n", "linked")
+    right = ranked.where("NOT linked").select("near", "centre", "element", F.col("class").alias("other"), F.col("component").alias("apart"), F.col("n").alias("m"), (F.col("place") <= F.col("own")).alias("own2"), (F.col("place") <= F.col("all")).alias("all2"))
+    meet = (F.col("linked") & F.col("all2")) | (~F.col("linked") & F.col("own2") & (F.col("class") < F.col("other")))
+    pairs = left.join(right, ["near", "centre", "element"]).where(_like("n", "m", measure) & (F.col("component") != F.col("apart")) & meet)
+    return links, pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+
+
 def link_documents(docs: DataFrame, measure: Measure | None = None, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """(key, n_shingles, component_id) of every row: the size of its shingle set and the least key that its links reach.
 
@@ -386,9 +514,11 @@ def link_documents(docs: DataFrame, measure: Measure | None = None, key: str = "
     weak = groups.where("costly").groupBy("class").agg(F.count("*").alias("weak"))
     known = known.join(weak, "class", "left").withColumn("weak", F.coalesce("weak", F.lit(0))).withColumn("hard", F.col("weak") > F.col("room"))
     known = cut(known, "known")
-    left = groups.where("not costly").select("signature", "class").unionByName(groups.where("costly").select("signature", "class").join(known.where("hard"), "class", "left_semi"))
-    more = _verified(_near(_across(left, known, found, measure), known, measure), docs, first, measure, key, text)
-    found = components(edges.unionByName(more))
+    hard = groups.where("costly").select("signature", "class").join(known.where("hard").select("class"), "class", "left_semi")
+    links, crowded = _crowded(hard, known, found, docs, first, measure, key, text)
+    pairs = _across(groups.where("not costly"), known, found, measure).unionByName(crowded).distinct()
+    more = _verified(_near(pairs, known, measure), docs, first, measure, key, text)
+    found = components(edges.unionByName(links).unionByName(more))
     least = first.join(found.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = cut(least, "least")
     named = least.join(least.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("class", "component_id")
