@@ -31,7 +31,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import by_keys, cut, shuffle_partitions, utf8
@@ -43,6 +43,8 @@ LIMIT = 24
 TURNS = 4
 #: Bands of sets up to so many shingles are indexed under one-deletion neighbourhoods.
 NEIGHBOURHOOD = 48
+#: Counters of shingles, by which the frequent ones come last, and those in a row.
+COUNTERS, SLICE = 1 << 17, 1 << 10
 #: Bytes hashed at once.
 _PIECE = 1 << 20
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -401,88 +403,155 @@ def _set_against_centres(groups: DataFrame, known: DataFrame, found: DataFrame,
     return told.where("near").select("class", "centre", "component").unionByName(told.where("far").select("class", F.lit(None).cast("long").alias("centre"), "component").distinct())
 
 
-_PARTS = "class long, centre long, component long, n long, size long, linked boolean, own int, all int, element long"
+def _wide(led: DataFrame, texts: DataFrame) -> DataFrame:
+    """(class, centre, component, x, y): the rows of led with the texts of the class and of the centre; centre 0, without a text, is none."""
+    near, far = (led.where(f"centre {sign} 0").join(texts.select("class", F.col("_text").alias("x")), "class") for sign in ("<>", "="))
+    near = near.join(texts.select(F.col("class").alias("centre"), F.col("_text").alias("y")), "centre")
+    columns = ("class", "centre", "component", "x")
+    return near.select(*columns, "y").unionByName(far.select(*columns, F.lit(None).cast("binary").alias("y")))
 
 
-def _parts(led: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
-    """A row for each shingle in which a class differs from its centre, or of its set without a centre; where a class is linked with its centre, also one without a shingle.
+@dataclass(frozen=True)
+class _Part:
+    """The shingles in which a class of n shingles differs from its centre of c, or its set if the centre is 0."""
+
+    number: int
+    centre: int
+    component: int
+    n: int
+    c: int
+    elements: np.ndarray
+
+    def near(self, measure: Measure) -> bool:
+        return self.elements.size <= 3 * measure.reach(self.c)
+
+    def far(self, measure: Measure) -> bool:
+        return self.elements.size > 3 * measure.reach(self.c) - measure.reach(self.n)
+
+    def linked(self, measure: Measure) -> bool:
+        return measure.linked((self.n + self.c - self.elements.size) // 2, self.n, self.c)
+
+    def buckets(self) -> np.ndarray:
+        """The counter of each shingle, of those that count for this centre."""
+        return (_mix(self.elements ^ _mix(np.array(self.centre, np.int64).view(np.uint64))) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _parts_of(batch: pa.RecordBatch, measure: Measure, last: dict[int, np.ndarray]) -> Iterator[tuple[_Part, np.ndarray]]:
+    """The part of each row of _wide, and the whole set. last holds the set of the last centre."""
+    for number, centre, component, x, y in zip(*(batch.column(i) for i in range(5)), strict=True):
+        number, centre, component = number.as_py(), centre.as_py(), component.as_py()
+        mine = shingle_set(x.as_py(), measure.k)
+        if class_of(mine) != number:  # another row with the same key
+            continue
+        if centre == 0:
+            yield _Part(number, 0, component, int(mine.size), 0, mine), mine
+            continue
+        if centre not in last:
+            theirs = shingle_set(y.as_py(), measure.k)
+            if class_of(theirs) != centre:
+                continue
+            last.clear()
+            last[centre] = theirs
+        yield _Part(number, centre, component, int(mine.size), int(last[centre].size), np.setxor1d(mine, last[centre], assume_unique=True)), mine
 
-    own, all: so many of its rarest shingles lead to any linked class which is not linked with the
-    centre, and to one that is. Of linked a and b with the differences x and y from the centre c, b
-    not linked with it, y > r (b + c) and |a ^ b| <= r (a + b), where r = (1 - t) / (1 + t): they
-    share more than (x + r (c - a)) / 2, and y - |a ^ b| at least. Rows of a class whose difference
-    is too large to be near are for no centre.
-    """
-    top, bottom = measure.denominator - measure.numerator, measure.denominator + measure.numerator
+
+def _told(led: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
+    """Whether each class is near its centre, and linked with it, by whole sets; a row with the centre 0 if it is far. With them, rows without a class: the counters of the shingles that its tasks met, by slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        last: dict[int, np.ndarray] = {}
+        counts = np.zeros(COUNTERS, np.int64)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
 
-        def out(rows: list[tuple], elements: list[np.ndarray | None]) -> pa.RecordBatch:
-            lengths = [1 if e is None else e.size for e in elements]
-            columns = [pa.array([r[i] for r in rows], kind).take(pa.array(np.repeat(np.arange(len(rows)), lengths))) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()))]
-            parts = [pa.nulls(1, pa.int64()) if e is None else pa.array(e.view(np.int64)) for e in elements]
-            return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays(parts)], names=["class", "centre", "component", "n", "size", "linked", "own", "all", "element"])
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["class", "centre", "component", "linked", "slice", "counts"])
 
         for batch in batches:
-            rows, elements, held = [], [], 0
-            for number, centre, component, x, y in zip(*(batch.column(i) for i in range(5)), strict=True):
-                number, centre, component = number.as_py(), centre.as_py(), component.as_py()
-                mine = shingle_set(x.as_py(), measure.k)
-                n = int(mine.size)
-                if class_of(mine) != number:  # another row with the same key
-                    continue
-                if centre is None:
-                    own = n + (-n * measure.numerator) // measure.denominator + 1
-                    rows.append((number, None, component, n, n, False, own, own))
-                    elements.append(mine)
+            rows, met = [], []
+            for part, mine in _parts_of(batch, measure, last):
+                if part.centre and part.near(measure):
+                    rows.append((part.number, part.centre, part.component, part.linked(measure), None, None))
+                    met.append(part.buckets())
+                if part.centre == 0 or part.far(measure):
+                    rows.append((part.number, 0, part.component, False, None, None))
+                    met.append(_Part(part.number, 0, part.component, part.n, 0, mine).buckets())
+            if rows:
+                counts += np.bincount(np.concatenate(met), minlength=COUNTERS)
+                yield out(rows)
+        slices = counts.reshape(-1, SLICE)
+        for i in np.flatnonzero(slices.any(axis=1)):
+            yield out([(None, None, None, None, int(i), slices[i].tobytes())])
+
+    return _wide(led, texts).mapInArrow(run, "class long, centre long, component long, linked boolean, slice int, counts binary")
+
+
+def _counters(told: DataFrame) -> np.ndarray:
+    """The sums of the counters of all tasks: COUNTERS numbers, however large the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(counts.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
+
+    slices = told.where("slice IS NOT NULL").select("slice", "counts")
+    out = np.zeros((COUNTERS // SLICE, SLICE), np.int64)
+    for i, counts in slices.repartition(shuffle_partitions(told.sparkSession), "slice").mapInArrow(run, "slice int, counts binary").collect():
+        out[i] = np.frombuffer(counts, np.int64)
+    return out.reshape(-1)
+
+
+def _rarest(led: DataFrame, texts: DataFrame, counts: np.ndarray, measure: Measure) -> DataFrame:
+    """The rarest shingles of each class's part, as far as a link takes them: (class, centre, component, n, linked, own, all, element).
+
+    own, all: whether the shingle is among those that lead to any linked class which is not linked
+    with the centre, and to one that is. Of linked a and b with the differences x and y from the
+    centre c, b not linked with it, y > r (b + c) and |a ^ b| <= r (a + b), where
+    r = (1 - t) / (1 + t): they share more than (x + r (c - a)) / 2, and y - |a ^ b| at least. Any
+    order of the shingles of a centre does, if it is one for all its classes; the counters, in which
+    several shingles may meet, put the frequent ones last.
+    """
+    top, bottom = measure.denominator - measure.numerator, measure.denominator + measure.numerator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[int, np.ndarray] = {}
+        for batch in batches:
+            rows, own, every, elements = [], [], [], []
+            for part, _ in _parts_of(batch, measure, last):
+                size, linked = part.elements.size, False
+                if part.centre:
+                    linked = part.linked(measure)
+                    first = size - (size * bottom + (part.c - part.n) * top) // (2 * bottom)
+                    most = 0 if linked else min(size, measure.reach(part.n) + 1)
                 else:
-                    if centre != last[0]:
-                        theirs = shingle_set(y.as_py(), measure.k)
-                        if class_of(theirs) != centre:
-                            continue
-                        last = (centre, theirs)
-                    c = int(last[1].size)
-                    apart = np.setxor1d(mine, last[1], assume_unique=True)
-                    size, reach = int(apart.size), measure.reach(c)
-                    linked = measure.linked((n + c - size) // 2, n, c)
-                    if linked:
-                        rows.append((number, centre, component, n, size, True, 0, 0))
-                        elements.append(None)
-                    if size <= 3 * reach:
-                        own = size - (size * bottom + (c - n) * top) // (2 * bottom)
-                        rows.append((number, centre, component, n, size, linked, own, min(size, measure.reach(n) + 1)))
-                        elements.append(apart)
-                    if size > 3 * reach - measure.reach(n):
-                        own = n + (-n * measure.numerator) // measure.denominator + 1
-                        rows.append((number, None, component, n, n, False, own, own))
-                        elements.append(mine)
-                held += 0 if not elements or elements[-1] is None else elements[-1].size
-                if held > 1 << 16:
-                    yield out(rows, elements)
-                    rows, elements, held = [], [], 0
+                    first = most = part.n + (-part.n * measure.numerator) // measure.denominator + 1
+                take = min(size, max(first, most, 0))
+                place = np.arange(take)
+                elements.append(part.elements[np.lexsort((part.elements, counts[part.buckets()]))[:take]])
+                own.append(place < first)
+                every.append(place < most)
+                rows.append((part.number, part.centre, part.component, part.n, linked))
             if rows:
-                yield out(rows, elements)
+                each = pa.array(np.repeat(np.arange(len(rows)), [e.size for e in elements]))
+                columns = [pa.array([r[i] for r in rows], kind).take(each) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.concatenate(x)) for x in (own, every)), pa.array(np.concatenate(elements).view(np.int64))], names=["class", "centre", "component", "n", "linked", "own", "all", "element"])
 
-    wide = led.join(texts.select("class", F.col("_text").alias("x")), "class").join(texts.select(F.col("class").alias("centre"), F.col("_text").alias("y")), "centre", "left")
-    return wide.select("class", "centre", "component", "x", "y").mapInArrow(run, _PARTS)
+    return _wide(led, texts).mapInArrow(run, "class long, centre long, component long, n long, linked boolean, own boolean, all boolean, element long")
 
 
 def _crowded(groups: DataFrame, known: DataFrame, found: DataFrame, docs: DataFrame, first: DataFrame, measure: Measure, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Of the hard classes in groups of costly signatures: the (u, v) linked with their centres, and the (a, b) of different components that share a rare enough shingle."""
-    led = cut(_set_against_centres(groups, known, found, measure), "led")
-    parts = _parts(led, _texts(led.select("class").union(led.where("centre IS NOT NULL").select("centre")).distinct(), docs, first, key, text), measure)
-    parts = cut(parts.withColumn("near", F.col("centre").isNotNull()).withColumn("centre", F.coalesce("centre", F.lit(0))), "parts")
-    links = parts.where("element IS NULL").select(F.col("class").alias("u"), F.col("centre").alias("v"))
-    rows = parts.where("element IS NOT NULL").dropDuplicates(["near", "centre", "element", "class"])
-    often = cut(rows.groupBy("near", "centre", "element").agg(F.count("*").alias("often")).where("often > 1"), "often")
-    each = Window.partitionBy("near", "centre", "class")
-    ranked = rows.join(often, ["near", "centre", "element"]).withColumn("place", F.col("size") - F.count("*").over(each) + F.row_number().over(each.orderBy("often", "element")))
-    ranked = cut(ranked.where(F.col("place") <= F.greatest("own", "all")), "ranked")
-    left = ranked.where("place <= own").select("near", "centre", "element", "class", "component", "n", "linked")
-    right = ranked.where("NOT linked").select("near", "centre", "element", F.col("class").alias("other"), F.col("component").alias("apart"), F.col("n").alias("m"), (F.col("place") <= F.col("own")).alias("own2"), (F.col("place") <= F.col("all")).alias("all2"))
+    led = cut(_set_against_centres(groups, known, found, measure).withColumn("centre", F.coalesce("centre", F.lit(0))), "led")
+    texts = _texts(led.select("class").union(led.where("centre <> 0").select("centre")).distinct(), docs, first, key, text)
+    told = cut(_told(led, texts, measure), "told")
+    exact = told.where("slice IS NULL").select("class", "centre", "component", "linked").distinct()
+    links = told.where("linked").select(F.col("class").alias("u"), F.col("centre").alias("v"))
+    rarest = cut(_rarest(exact.drop("linked"), texts, _counters(told), measure).distinct(), "rarest")
+    left = rarest.where("own").select("centre", "element", "class", "component", "n", "linked")
+    right = rarest.where("NOT linked").select("centre", "element", F.col("class").alias("other"), F.col("component").alias("apart"), F.col("n").alias("m"), F.col("own").alias("own2"), F.col("all").alias("all2"))
     meet = (F.col("linked") & F.col("all2")) | (~F.col("linked") & F.col("own2") & (F.col("class") < F.col("other")))
-    pairs = left.join(right, ["near", "centre", "element"]).where(_like("n", "m", measure) & (F.col("component") != F.col("apart")) & meet)
+    pairs = left.join(right, ["centre", "element"]).where(_like("n", "m", measure) & (F.col("component") != F.col("apart")) & meet)
     return links, pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
 
 
