@@ -33,6 +33,8 @@ BLOCK_BYTES = 8 << 20
 #: Normalised bytes walked at once.
 CHUNK = 1 << 20
 _SLICE = 1 << 16
+#: Bytes of a short item's piece that are looked for.
+_SEED = 4
 _TABLE_BITS = 18
 #: Growing keys are compared after so many samples: the first ones tell few windows apart.
 _COMPARED = (4, 6, 7, 8, 10, 12)
@@ -40,13 +42,15 @@ _TO_SPACE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <=
 
 
 def normalise(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a text with A-Z lower-cased and each run of other ASCII marks and white space as one space, and where each stood."""
+    """The bytes of a text with A-Z lower-cased and each run of other ASCII marks and white space as one space, none at either end, and where each stood."""
     raw = np.frombuffer(text.translate(_TO_SPACE), np.uint8)
     keep = np.ones(raw.size, dtype=bool)
     if raw.size:
         keep[1:] = (raw[1:] != 32) | (raw[:-1] != 32)
         keep[0] = raw[0] != 32
     at = np.flatnonzero(keep)
+    if at.size and raw[at[-1]] == 32:
+        at = at[:-1]
     return raw[at], at
 
 
@@ -82,6 +86,18 @@ class Walk:
         return starts, key, at
 
 
+def _grams(text: np.ndarray, size: int) -> np.ndarray:
+    """The size bytes from each place as one number."""
+    out = np.zeros(max(0, text.size - size + 1), dtype=np.int64)
+    for i in range(size):
+        out = out << 8 | text[i : i + out.size]
+    return out
+
+
+def allowed_edits(size: int, similarity: float) -> int:
+    return int(size * (1 - similarity) + 1e-9)
+
+
 def _word_starts(text: np.ndarray) -> np.ndarray:
     """Where a word starts: after a space, or the 0 that parts two texts."""
     apart = text <= 32
@@ -91,11 +107,18 @@ def _word_starts(text: np.ndarray) -> np.ndarray:
 class Items:
     """The keys of every walk over every item: all of them sorted, and tables of the hashes of the growing keys."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], repetitions: int = REPETITIONS, steps: int = STEPS, samples: int = SAMPLES):
+    def __init__(self, items: list[tuple[int | None, bytes]], repetitions: int = REPETITIONS, steps: int = STEPS, samples: int = SAMPLES, similarity: float = SIMILARITY):
         self.ids = [i for i, _ in items]
         self.texts = [normalise(t)[0].tobytes() for _, t in items]
-        # An item that no walk fits is looked for as it is.
+        # An item that no walk fits is cut, between spaces, into one piece more than edits are allowed: one piece stands whole.
         self.short = [i for i, t in enumerate(self.texts) if t and len(t) <= steps]
+        seeds: dict[int, list[tuple[int, int, int]]] = {}
+        for i in self.short:
+            padded = np.frombuffer(b" " + self.texts[i] + b" ", np.uint8)
+            pieces = min(allowed_edits(len(self.texts[i]), similarity) + 1, padded.size)
+            size = min(_SEED, padded.size // pieces)
+            seeds.setdefault(size, []).extend((int(_grams(padded[at : at + size], size)[0]), i, at) for at in (np.arange(pieces) * padded.size // pieces).tolist())
+        self.seeds = {size: np.array(sorted(own), dtype=np.int64).T for size, own in seeds.items()}
         self.walks = [Walk.draw(seed, steps, samples) for seed in range(repetitions)]
         long = [i for i, t in enumerate(self.texts) if len(t) > steps]
         pad = bytes(steps + 1)
@@ -141,6 +164,20 @@ class Items:
         return np.concatenate([*found_items, empty]), np.concatenate([*found_places, empty]), np.concatenate([*found_words, empty])
 
 
+    def short_hits(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(short item, place where its window would start) for each piece of one that text holds; text and items stand between spaces."""
+        found_items, found_places = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for size, (keys, items, offsets) in self.seeds.items():
+            own = _grams(np.frombuffer(text, np.uint8), size)
+            at = np.flatnonzero(np.isin(own, keys))
+            left, right = np.searchsorted(keys, own[at], side="left"), np.searchsorted(keys, own[at], side="right")
+            many = right - left
+            which = np.repeat(left - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            found_items.append(items[which])
+            found_places.append(np.repeat(at, many) - offsets[which])
+        return np.concatenate(found_items), np.concatenate(found_places)
+
+
 def find_approximate(item: bytes, text: bytes, free_start: bool = True) -> tuple[int, int]:
     """(distance, end) of the stretch of text nearest to item by edit distance, the first of equally near ones; it may start anywhere, or at 0 alone."""
     mask, top, equal = (1 << len(item)) - 1, 1 << (len(item) - 1), {}
@@ -166,9 +203,9 @@ def find_approximate(item: bytes, text: bytes, free_start: bool = True) -> tuple
     return best, end
 
 
-def verify(item: bytes, text: bytes, least: int, most: int, similarity: float = SIMILARITY) -> tuple[int, int, int] | None:
+def verify(item: bytes, text: bytes, least: int, most: int, similarity: float = SIMILARITY, allowed: int | None = None) -> tuple[int, int, int] | None:
     """(distance, start, end) of item in text, for windows that would start from least to most; None if none is near enough."""
-    allowed = int(len(item) * (1 - similarity) + 1e-9)
+    allowed = allowed_edits(len(item), similarity) if allowed is None else allowed
     low, high = max(0, least - allowed), min(len(text), most + len(item) + allowed)
     window = text[low:high]
     exact = window.find(item)
@@ -184,20 +221,29 @@ def verify(item: bytes, text: bytes, least: int, most: int, similarity: float =
 def matches(text: bytes, items: Items, hits: tuple[np.ndarray, np.ndarray], similarity: float) -> list[tuple[int, int, int, int]]:
     """(item, distance, start, end): the nearest verified window of each item that the hits point to."""
     out = []
-    which, places = hits
-    for i in np.unique(which).tolist():
-        slack = int(len(items.texts[i]) * (1 - similarity)) + 1
-        own = np.unique(places[which == i])
+
+    def nearest(i: int, item: bytes, text: bytes, places: np.ndarray, allowed: int) -> None:
+        own = np.unique(places)
         found = []
-        for near in np.split(own, np.flatnonzero(np.diff(own) > slack) + 1):
-            if (m := verify(items.texts[i], text, int(near[0]), int(near[-1]), similarity)) is not None:
+        for near in np.split(own, np.flatnonzero(np.diff(own) > allowed + 1) + 1):
+            if (m := verify(item, text, int(near[0]), int(near[-1]), similarity, allowed)) is not None:
                 found.append(m)
         if found:
             out.append((i, *min(found)))
-    for i in items.short:
-        at = (b" " + text + b" ").find(b" " + items.texts[i] + b" ")
-        if at >= 0:
-            out.append((i, 0, at, at + len(items.texts[i])))
+
+    which, places = hits
+    for i in np.unique(which).tolist():
+        nearest(i, items.texts[i], text, places[which == i], allowed_edits(len(items.texts[i]), similarity))
+    if items.short:
+        # Whole words are compared: items and text stand between spaces, which don't count for the similarity.
+        spaced, n_long = b" " + text + b" ", len(out)
+        which, places = items.short_hits(spaced)
+        for i in np.unique(which).tolist():
+            nearest(i, b" " + items.texts[i] + b" ", spaced, places[which == i], allowed_edits(len(items.texts[i]), similarity))
+        for n, (i, distance, start, end) in enumerate(out[n_long:], n_long):
+            held = spaced[start:end]
+            low, high = start + len(held) - len(held.lstrip(b" ")), end - len(held) + len(held.rstrip(b" "))
+            out[n] = (i, distance, low - 1, high - 1)
     return out
 
 
@@ -206,8 +252,9 @@ def find_benchmark(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
     Texts are compared with A-Z lower-cased and runs of other ASCII marks and white space as one
     space; distance counts edits of UTF-8 bytes, start and end are code points of the document.
-    A window counts if its distance is at most (1 - similarity) of the item. Items of fewer bytes
-    than a walk has steps must stand as they are, between spaces. Null or empty texts and items hold
+    A window counts if its distance is at most (1 - similarity) of the item. Items of no more
+    bytes than a walk has steps are found by their pieces, one of which every near copy holds whole,
+    and are compared from space to space. Null or empty texts and items hold
     and are nothing; repeated rows give repeated results; empty tables give an empty one; columns
     other than those named are ignored. Items are taken in blocks of a bounded size, each a pass
     over the documents.
@@ -267,7 +314,7 @@ def _search(docs: DataFrame, items: list[tuple[int | None, bytes]], id_type: T.D
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Items(shared.value, repetitions)
+        made = Items(shared.value, repetitions, similarity=similarity)
         ids = pa.array(made.ids, pa.null() if not made.ids else None)
         for batch in batches:
             found = _found(batch.column(1), made, similarity)
@@ -283,7 +330,7 @@ def _clean(docs: DataFrame, items: list[tuple[int | None, bytes]], text: str, si
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Items(shared.value, repetitions)
+        made = Items(shared.value, repetitions, similarity=similarity)
         for batch in batches:
             keep = np.ones(batch.num_rows, dtype=bool)
             keep[[f[0] for f in _found(batch.column(batch.schema.get_field_index("_text")), made, similarity)]] = False

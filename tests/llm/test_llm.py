@@ -100,6 +100,28 @@ def test_decontamination(spark, none):
     assert decontaminate.find_benchmark(table, known.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    questions = {1: "What is the capital of France?", 2: "Who wrote Hamlet?", 3: "(é)", 4: "!?"}
+    known = spark.createDataFrame(list(questions.items()), "item_id long, text string")
+    rows = {1: "Quiz: What is the capital of France? It is Paris.", 2: "what is teh capitol of france", 3: "Who wrote Hamlet?", 4: "who rote Hamlett", 5: "whoever wrote hamlets", 6: "what is the price of fruit", 7: "an é.", 8: "née", 9: "?"}
+    found = decontaminate.find_benchmark(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), known).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance, rows[r.doc_id][r.start : r.end]) for r in found) == [(1, 1, 0, "What is the capital of France"), (2, 1, 3, rows[2]), (3, 2, 0, "Who wrote Hamlet"), (4, 2, 2, "who rote Hamlet"), (7, 3, 0, "é")]
+
+
+def test_short_items_are_found_at_every_allowed_distance():
+    r = random.Random(5)
+    for _ in range(300):
+        item = " ".join("".join(r.choice("abcdefg") for _ in range(r.randrange(1, 8))) for _ in range(r.randrange(1, 6))).encode()[:40].rstrip()
+        copy = bytearray(item)
+        allowed = len(item) // 5
+        for k in range(allowed):
+            copy[k * len(copy) // allowed] = ord("z")
+        text = b"xx yy " + bytes(copy) + b" yy"
+        made = decontaminate.Items([(0, item)])
+        [(_, distance, start, end)] = decontaminate.matches(text, made, (np.zeros(0, np.int64), np.zeros(0, np.int64)), 0.8)
+        assert distance <= allowed and start < end
+
+
 # 2
 
 
