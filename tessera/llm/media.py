@@ -22,8 +22,10 @@ from tessera.llm.common import replaced, utf8, without
 UNIT = 576
 PAD = b"\xff"
 RATE = 8_000
-#: Samples in a frame, and between the starts of two frames.
-FRAME = HOP = UNIT
+#: Samples from one frame to the next, a quarter of UNIT, so that every payload has frames to pair.
+FRAME = UNIT // 4
+#: Samples that a frame's window covers: half of each neighbour's too.
+WINDOW = 2 * FRAME
 #: Peaks of a frame, and later frames that each peak is paired with.
 PEAKS, AHEAD = 2, 2
 #: Frames transformed at once: bounds the memory that a long file takes.
@@ -46,15 +48,21 @@ def from_wav(media: bytes) -> bytes:
 
 
 def peaks(samples: bytes) -> np.ndarray:
-    """The strongest bins of every frame, the strongest first: frames x PEAKS. The lowest bin of equally strong ones counts."""
-    window = np.hanning(FRAME)
+    """The strongest bins of every frame, the strongest first: frames x PEAKS. The lowest bin of equally strong ones counts.
+
+    Windows overlap by half and are centred on their frames; beyond both ends the samples are
+    mirrored. Bins are whole cycles in FRAME samples: the two halves of a window are added up.
+    """
+    window = np.hanning(WINDOW + 1)[:-1]
     raw = np.frombuffer(samples, np.uint8)
-    n = max(0, 1 + (raw.size - FRAME) // HOP)
+    n = raw.size // FRAME
+    raw = np.pad(raw, (WINDOW - FRAME) // 2, mode="symmetric") if n else raw
     out = []
     for first in range(0, n, _FRAMES_AT_ONCE):
         last = min(n, first + _FRAMES_AT_ONCE)
-        frames = np.lib.stride_tricks.sliding_window_view(raw, FRAME)[first * HOP : (last - 1) * HOP + 1 : HOP].astype(np.float32)
-        power = np.abs(np.fft.rfft((frames - frames.mean(axis=1, keepdims=True)) * window, axis=1))
+        frames = np.lib.stride_tricks.sliding_window_view(raw, WINDOW)[first * FRAME : (last - 1) * FRAME + 1 : FRAME].astype(np.float32)
+        frames = (frames - frames.mean(axis=1, keepdims=True)) * window
+        power = np.abs(np.fft.rfft(frames.reshape(len(frames), -1, FRAME).sum(axis=1), axis=1))
         power = np.round(power[:, 1:], 2)
         found = []
         for _ in range(PEAKS):

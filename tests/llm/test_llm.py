@@ -315,6 +315,18 @@ def test_media(spark, docs, none, texts):
     assert set(media.peaks(tone)[:, 0].tolist()) == {48}
 
 
+def test_short_media_have_fingerprints_of_their_own():
+    prints = [media.pairs(media.peaks(prose(i, 90).encode()[: media.UNIT]))[1].tolist() for i in range(50)]
+    assert all(len(p) >= 12 for p in prints) and len({tuple(p) for p in prints}) == 50
+    # Every sample counts in some frame, also where two frames meet.
+    r = np.random.default_rng(3)
+    raw = r.integers(97, 123, media.UNIT, dtype=np.uint8)
+    for at in range(0, media.UNIT - 8, 8):
+        tone = raw.copy()
+        tone[at : at + 8] = [0, 255] * 4
+        assert not np.array_equal(media.peaks(tone.tobytes()), media.peaks(raw.tobytes())), at
+
+
 # 7
 
 
