@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,17 +27,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 KINDS = ("assign", "access", "hex", "format")
 
-#: A token that may be a credential: so many characters at least, among them digits and letters.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=@-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_.=@-])")
+#: A token that may be a credential: a whole run over the alphabet of what is assigned, less the marks that end a sentence.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_ASSIGN)
 _HEX_RUN = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)
-#: The bound of the labelled sample: so many distinct credentials, and as many other tokens, those of the least hash.
-SAMPLE = 4_000
+#: The bound of the labelled sample: so many distinct credentials, and as many other tokens, those of the least hash, and so many characters of either.
+SAMPLE, SAMPLE_CHARS = 4_000, 1 << 19
 #: Of Hoeffding's bound, when two states are compared.
 ALPHA = 0.05
 #: Least log likelihood ratio, per character, of a span.
 THRESHOLD = 0.5
-#: States compared and kept at most this deep: the automaton is bounded, longer tokens loop in its merged states.
-_DEPTH = 48
+#: Class sequences whose ratio a task remembers.
+_REMEMBERED = 1 << 16
 _END = "$"
 
 
@@ -67,9 +68,9 @@ def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int,
     """Tokens that may be credentials and overlap no base span."""
     out = []
     for m in CANDIDATE.finditer(text):
-        token = m.group()
-        if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and not any(a < m.end() and m.start() < b for _, a, b in spans):
-            out.append(m.span())
+        start, end = m.start(), m.start() + len(m.group().rstrip("."))
+        if end - start >= MIN_ASSIGN and not any(a < end and start < b for _, a, b in spans):
+            out.append((start, end))
     return out
 
 
@@ -82,15 +83,14 @@ class Automaton:
         self.count: list[dict[str, int]] = [{}]
         for s in sequences:
             at = 0
-            for c in s[:_DEPTH]:
+            for c in s:
                 self.count[at][c] = self.count[at].get(c, 0) + 1
                 if c not in self.next[at]:
                     self.next[at][c] = len(self.next)
                     self.next.append({})
                     self.count.append({})
                 at = self.next[at][c]
-            if len(s) <= _DEPTH:
-                self.count[at][_END] = self.count[at].get(_END, 0) + 1
+            self.count[at][_END] = self.count[at].get(_END, 0) + 1
         self.alphabet = len({c for row in self.count for c in row} | {_END}) + 1
         self._merge_all()
 
@@ -180,17 +180,29 @@ def extract(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(text, utf8(text)).mapInArrow(scan, schema)
 
 
-def _least(tokens: DataFrame, sample: int) -> list[str]:
-    """The distinct tokens of the least hash, so many at most: a bounded sample that doesn't depend on how rows are dealt."""
-    return [r[0] for r in tokens.where(F.length("token") >= MIN_ASSIGN).distinct().orderBy(F.xxhash64("token"), "token").limit(sample).collect()]
+def _least(tokens: DataFrame, sample: int, chars: int = SAMPLE_CHARS) -> list[str]:
+    """The distinct tokens of the least hash, whole ones, so many and so many characters at most: a bounded sample that doesn't depend on how rows are dealt."""
+    tokens = tokens.where(F.length("token") >= MIN_ASSIGN).withColumn("h", F.xxhash64("token"))
+    # Lengths come first: no more characters reach the driver than are drawn.
+    chosen, left = [], chars
+    for h, n in tokens.select("h", F.length("token").alias("n")).distinct().orderBy("h", "n").limit(sample).collect():
+        if n <= left:
+            chosen.append((h, n))
+            left -= n
+    if not chosen:
+        return []
+    drawn = tokens.sparkSession.createDataFrame(chosen, "h long, n int")
+    found = tokens.withColumn("n", F.length("token")).join(F.broadcast(drawn), ["h", "n"], "left_semi").select("h", "token").distinct()
+    return [r["token"] for r in found.orderBy("h", "token").collect()]
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """docs less the text, with base and spans: arrays of (kind, start, end) in code points, by start and then kind.
 
     spans are those of base and the candidates that the automata score as credentials (kind format).
-    The automata are inferred from at most sample distinct credentials and as many other tokens; if
-    there are no credentials, nothing is added. Null and empty texts have no spans; repeated rows
+    Candidates are all whole runs of MIN_ASSIGN characters and more over the alphabet of assigned
+    credentials. The automata are inferred from at most sample distinct credentials and as many other
+    tokens, whole ones, of SAMPLE_CHARS characters at most; if there are no credentials, nothing is added. Null and empty texts have no spans; repeated rows
     are kept; an empty table gives an empty one; input columns named as results are replaced.
     """
     found = cut(extract(without(docs, *{"spans"} - {text}), text), "tokens")
@@ -200,16 +212,18 @@ def scan_secrets(docs: DataFrame, text: str = "text", sample: int = SAMPLE, thre
     # The other tokens hold unlabelled credentials too: their automaton is mixed with one that knows no format.
     flat = -math.log(max(2, other.alphabet))
 
-    def ratio(token: str) -> float:
-        c = classes(token)
+    def ratio(c: str) -> float:
         a, b = good.score(c), max(other.score(c) + math.log(0.5), flat * (len(c) + 1) + math.log(0.5))
         return (a - b) / (len(c) + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(_REMEMBERED)(ratio)
+        # Long sequences hardly come again.
+        told = lambda token: (known if len(token) <= 64 else ratio)(classes(token))
         for batch in batches:
             spans = []
             for base, others in zip(batch.column(batch.schema.get_field_index("base")).to_pylist(), batch.column(batch.schema.get_field_index("others")).to_pylist(), strict=True):
-                more = [{"kind": "format", "start": o["start"], "end": o["end"]} for o in others if secret and ratio(o["token"]) >= threshold]
+                more = [{"kind": "format", "start": o["start"], "end": o["end"]} for o in others if secret and told(o["token"]) >= threshold]
                 spans.append(sorted(base + more, key=lambda s: (s["start"], KINDS.index(s["kind"]))))
             yield replaced(batch, spans=pa.array(spans, batch.column(batch.schema.get_field_index("base")).type))
 

@@ -163,6 +163,31 @@ def test_secret_scan(spark, none):
     assert secrets.scan_secrets(none).count() == 0
 
 
+def test_every_run_of_the_alphabet_is_a_candidate():
+    tokens = lambda t: [t[a:b] for a, b in secrets.candidates(t, secrets.base_spans(t))]
+    assert tokens("The key is 1b7e0c9a44d2f3e85b60.") == ["1b7e0c9a44d2f3e85b60"]
+    assert tokens("me@1b7e0c9a44d2f3e85b60@x eyJhbGciOi.eyJzdWIiOi.c2lnbmF0dXJl...") == ["1b7e0c9a44d2f3e85b60", "eyJhbGciOi.eyJzdWIiOi.c2lnbmF0dXJl"]
+    assert tokens("12345678, abcdefgh; a1b2c3d, short...... password=12345678") == ["12345678", "abcdefgh"]
+
+
+def test_automata_learn_where_long_credentials_end():
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    made = secrets.Automaton([secrets.classes(word(64) + "==") for _ in range(300)])
+    assert any("=" in row for row in made.count) and sum(row.get("$", 0) for row in made.count) == 300
+
+
+def test_secret_scan_finds_credentials_that_end_a_sentence(spark):
+    r = random.Random(2)
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f'some prose token = "{hexes(r.choice((12, 20, 24)))}" more {r.choice(WORDS)}{r.choice(WORDS)}') for i in range(300)]
+    rows += [(300, "The key is 1b7e0c9a44d2f3e85b60."), (301, "it was b7e0c9a44d2f, then"), (302, "consectetur adipiscing tincididunt.")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x.doc_id: [tuple(s) for s in x.spans if s.kind == "format"] for x in secrets.scan_secrets(table).collect()}
+    assert found[300] == [("format", 11, 31)] and found[301] == [("format", 7, 19)]
+    assert not any(v for k, v in found.items() if k not in (300, 301))
+
+
 # 3
 
 
