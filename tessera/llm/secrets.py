@@ -39,6 +39,7 @@ THRESHOLD = 0.5
 #: Class sequences whose ratio a task remembers.
 _REMEMBERED = 1 << 16
 _END = "$"
+_CLASS = {ord(c): "d" if c.isdigit() else ("h" if c in "abcdef" else "l" if c.islower() else "H" if c in "ABCDEF" else "L") for c in "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -52,7 +53,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def classes(token: str) -> str:
     """The class of each character: h for a-f, l for other small letters, H and L for capitals, d for digits, others themselves."""
-    return "".join("d" if c.isdigit() else ("h" if c in "abcdef" else "l" if c.islower() else "H" if c in "ABCDEF" else "L") if c.isalpha() else c for c in token)
+    return token.translate(_CLASS)
 
 
 def credentials(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
@@ -93,6 +94,10 @@ class Automaton:
             self.count[at][_END] = self.count[at].get(_END, 0) + 1
         self.alphabet = len({c for row in self.count for c in row} | {_END}) + 1
         self._merge_all()
+        # What score() adds up: the log likelihoods of each state's classes, and that of any other.
+        totals = [sum(row.values()) + 0.5 * self.alphabet for row in self.count]
+        self.logs = [{c: math.log((n + 0.5) / t) for c, n in row.items()} for row, t in zip(self.count, totals, strict=True)]
+        self.rest = [math.log(0.5 / t) for t in totals]
 
     def _differ(self, a: int, b: int) -> bool:
         x, y = self.count[a], self.count[b]
@@ -147,11 +152,13 @@ class Automaton:
         self.next, self.count = [{c: keep[t] for c, t in self.next[r].items() if t in keep} for r in red], [self.count[r] for r in red]
 
     def score(self, sequence: str) -> float:
-        at, total = 0, 0.0
+        at, total, lost = 0, 0.0, -math.log(self.alphabet)
         for c in sequence + _END:
-            row = self.count[at] if at is not None else {}
-            total += math.log((row.get(c, 0) + 0.5) / (sum(row.values()) + 0.5 * self.alphabet))
-            at = self.next[at].get(c) if at is not None else None
+            if at is None:
+                total += lost
+            else:
+                total += self.logs[at].get(c, self.rest[at])
+                at = self.next[at].get(c)
         return total
 
 
