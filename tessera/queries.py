@@ -96,6 +96,8 @@ over_table("offset_only", "nation", "SELECT n_nationkey, n_name FROM nation ORDE
 over_table("limit_offset", "orders", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20", lambda df: Query(df).select("o_orderkey").order(c("o_orderkey")).limit(10).offset(20).run())
 over_table("nulls_first", "part", "SELECT p_partkey, nullif(p_size, 7) AS s FROM part ORDER BY s ASC NULLS FIRST, p_partkey LIMIT 40", lambda df: df.select("p_partkey", F.nullif(c("p_size"), F.lit(7)).alias("s")).orderBy(c("s").asc_nulls_first(), "p_partkey").limit(40))
 over_table("nulls_last", "part", "SELECT p_partkey, nullif(p_size, 50) AS s FROM part ORDER BY s DESC NULLS LAST, p_partkey LIMIT 40", lambda df: df.select("p_partkey", F.nullif(c("p_size"), F.lit(50)).alias("s")).orderBy(c("s").desc_nulls_last(), "p_partkey").limit(40))
+over_table("nulls_first_whole", "part", "SELECT p_partkey, nullif(p_size, 7) AS s FROM part ORDER BY s ASC NULLS FIRST, p_partkey", lambda df: df.select("p_partkey", F.nullif(c("p_size"), F.lit(7)).alias("s")).orderBy(c("s").asc_nulls_first(), "p_partkey"))
+over_table("nulls_last_whole", "part", "SELECT p_partkey, nullif(p_size, 50) AS s FROM part ORDER BY s DESC NULLS LAST, p_partkey", lambda df: df.select("p_partkey", F.nullif(c("p_size"), F.lit(50)).alias("s")).orderBy(c("s").desc_nulls_last(), "p_partkey"))
 over_table("distinct", "orders", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", lambda df: Query(df).select("o_orderstatus", "o_orderpriority").distinct().run())
 over_table("distinct_on", "orders", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey", lambda df: Query(df).select("o_custkey", "o_orderkey", "o_totalprice").distinct_on("o_custkey").order(c("o_custkey"), c("o_totalprice").desc(), c("o_orderkey")).run())
 over_table("top_per_group", "orders", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 2", lambda df: df.withColumn("r", F.row_number().over(Window.partitionBy("o_custkey").orderBy(c("o_totalprice").desc(), "o_orderkey"))).where("r <= 2").select("o_custkey", "o_orderkey"))
@@ -185,6 +187,20 @@ both_sides("intersect", "INTERSECT", lambda a, b: a.intersect(b))
 both_sides("intersect_all", "INTERSECT ALL", lambda a, b: a.intersectAll(b))
 both_sides("except", "EXCEPT", lambda a, b: a.subtract(b))
 both_sides("except_all", "EXCEPT ALL", lambda a, b: a.exceptAll(b))
+
+
+def whole_sides(name: str, sql: str, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    query(f"set_{name}_whole", f"SELECT c_custkey AS k, c_nationkey AS n FROM customer {sql} SELECT s_suppkey AS k, s_nationkey AS n FROM supplier")(
+        lambda s, d: combine(load(s, d, "customer").select(c("c_custkey").alias("k"), c("c_nationkey").alias("n")), load(s, d, "supplier").select(c("s_suppkey").alias("k"), c("s_nationkey").alias("n")))
+    )
+
+
+whole_sides("union", "UNION", lambda a, b: a.union(b).distinct())
+whole_sides("union_all", "UNION ALL", lambda a, b: a.union(b))
+whole_sides("intersect", "INTERSECT", lambda a, b: a.intersect(b))
+whole_sides("intersect_all", "INTERSECT ALL", lambda a, b: a.intersectAll(b))
+whole_sides("except", "EXCEPT", lambda a, b: a.subtract(b))
+whole_sides("except_all", "EXCEPT ALL", lambda a, b: a.exceptAll(b))
 query("set_union_order_limit", "SELECT * FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier) ORDER BY k DESC LIMIT 5 OFFSET 2")(lambda s, d: load(s, d, "customer").select(c("c_nationkey").alias("k")).union(load(s, d, "supplier").select("s_nationkey")).distinct().orderBy(c("k").desc()).offset(2).limit(5))
 
 # ------------------------------------------------------------------ text, dates
