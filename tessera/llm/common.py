@@ -7,7 +7,7 @@ import uuid
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that the word and line operators know: space and \x09-\x0D.
@@ -15,9 +15,11 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where it is unset a local session gets a folder of its own; on a cluster that would break every read, so it is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -73,7 +75,7 @@ def replaced(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
 BROADCAST_KEYS = 1_000_000
 
 
-def by_keys(df: DataFrame, keys: DataFrame, on: str, how: str, most: int = BROADCAST_KEYS) -> DataFrame:
+def by_keys(df: DataFrame, keys: DataFrame, on: str | Column, how: str, most: int = BROADCAST_KEYS) -> DataFrame:
     """df joined with a table that has a row for each key: broadcast if it is counted to be small, else shuffled. keys should be cut."""
     small = keys.limit(most + 1).count() <= most
     return df.join(F.broadcast(keys) if small else keys, on, how)

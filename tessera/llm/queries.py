@@ -80,8 +80,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    judged = quality.classify(docs, read_table(spark, sf_dir, "labels"))
+    judged = quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), columns=["doc_id", "source", "lang"])
     return judged.select("doc_id", "source", "lang", "evidence", "host_rate", "path_rate", "p_good", "keep")
 
 
