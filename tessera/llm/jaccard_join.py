@@ -16,10 +16,12 @@ looked for in the costly subsets as well.
 Copies are one class. In a few turns the classes of each subset's group are compared with one of
 them; what that leaves in one component needs no comparison, the rest is compared across components
 where enough subsets are shared. The groups of costly subsets may be large, and their hard classes
-are not paired: each is set against the centre of its group. Of classes near the centre only the
-shingles in which they differ from it count, of the others the whole set; linked ones then share one
-of their rarest shingles, by which the pairs are found. A parity bitmap bounds the difference from
-below, without error, before whole sets are compared.
+are not paired: those that costly subsets lead to one another, however indirectly, are a family, and
+each class of it is set against the one centre of the family. There the universe is divided again,
+down to single shingles: of classes near the centre only the shingles in which they differ from it
+count, of the others the whole set, and linked ones share one of their rarest shingles. These groups
+are met as the first ones were, by one of their classes and then across components. A parity bitmap
+bounds the difference from below, without error, before whole sets are compared.
 """
 
 from __future__ import annotations
@@ -375,18 +377,23 @@ def _like(n: str, m: str, measure: Measure):
 
 
 def _set_against_centres(groups: DataFrame, known: DataFrame, found: DataFrame, measure: Measure) -> DataFrame:
-    """(class, centre, component) for each centre of a split group that a class is in, centre null once where it is far from one.
+    """(class, centre, component): each class of a split group against the centre of its family, centre null where it is far from it.
 
-    A group's centre is the class whose groups are the largest. Let h be the most shingles in which a
+    A family is what split groups connect, its centre the class whose groups are the largest: a row
+    or two for each class, however many groups it is in. Let h be the most shingles in which a
     class may differ from a linked one. Those that differ from the centre c by 3 h(c) at most are near
     it, those that differ by more than 3 h(c) - h far: a linked pair is near both or far both. The
     bitmaps rule one of the two out for most; near rows here are those they don't.
     """
     placed = cut(_placed(groups.select("signature", "class"), found), "placed")
     sizes = placed.groupBy("signature").agg(F.count("*").alias("size"), (F.min("component") < F.max("component")).alias("split")).where("split")
-    weights = placed.join(sizes, "signature").groupBy("class").agg(F.sum("size").alias("weight"))
-    centres = placed.join(sizes.select("signature"), "signature").join(weights, "class").groupBy("signature").agg(F.max_by("class", F.struct("weight", "class")).alias("centre"))
-    led = placed.join(centres, "signature").where("class <> centre").select("class", "centre", "component").distinct()
+    split = cut(placed.join(sizes.drop("split"), "signature"), "split")
+    weights = cut(split.groupBy("class", "component").agg(F.sum("size").alias("weight")), "weights")
+    hubs = split.groupBy("signature").agg(F.min("class").alias("hub"))
+    families = components(split.join(hubs, "signature").select(F.col("class").alias("u"), F.col("hub").alias("v")))
+    members = cut(weights.join(families.select(F.col("node").alias("class"), F.col("component").alias("family")), "class"), "members")
+    centres = members.groupBy("family").agg(F.max_by("class", F.struct("weight", "class")).alias("centre"))
+    led = members.join(centres, "family").where("class <> centre").select("class", "centre", "component")
     side = known.select(F.col("class").alias("centre"), F.col("n").alias("m"), F.col("bits").alias("y"))
     led = led.join(known.select("class", "n", F.col("bits").alias("x")), "class").join(side, "centre")
 
@@ -541,18 +548,27 @@ def _rarest(led: DataFrame, texts: DataFrame, counts: np.ndarray, measure: Measu
 
 
 def _crowded(groups: DataFrame, known: DataFrame, found: DataFrame, docs: DataFrame, first: DataFrame, measure: Measure, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Of the hard classes in groups of costly signatures: the (u, v) linked with their centres, and the (a, b) of different components that share a rare enough shingle."""
+    """Of the hard classes in groups of costly signatures: the (u, v) linked with their centres, and the rarest shingles that lead to the other links."""
     led = cut(_set_against_centres(groups, known, found, measure).withColumn("centre", F.coalesce("centre", F.lit(0))), "led")
     texts = _texts(led.select("class").union(led.where("centre <> 0").select("centre")).distinct(), docs, first, key, text)
     told = cut(_told(led, texts, measure), "told")
     exact = told.where("slice IS NULL").select("class", "centre", "component", "linked").distinct()
     links = told.where("linked").select(F.col("class").alias("u"), F.col("centre").alias("v"))
-    rarest = cut(_rarest(exact.drop("linked"), texts, _counters(told), measure).distinct(), "rarest")
-    left = rarest.where("own").select("centre", "element", "class", "component", "n", "linked")
-    right = rarest.where("NOT linked").select("centre", "element", F.col("class").alias("other"), F.col("component").alias("apart"), F.col("n").alias("m"), F.col("own").alias("own2"), F.col("all").alias("all2"))
-    meet = (F.col("linked") & F.col("all2")) | (~F.col("linked") & F.col("own2") & (F.col("class") < F.col("other")))
-    pairs = left.join(right, ["centre", "element"]).where(_like("n", "m", measure) & (F.col("component") != F.col("apart")) & meet)
-    return links, pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+    rarest = _rarest(exact.drop("linked"), texts, _counters(told), measure).distinct()
+    return links, cut(rarest.drop("component").withColumn("signature", F.xxhash64("centre", "element")), "rarest")
+
+
+def _meet(rarest: DataFrame, found: DataFrame, measure: Measure) -> DataFrame:
+    """The (a, b) of different components that share a rare enough shingle: in each group, the classes outside its largest component against all others."""
+    placed = _placed(rarest, found)
+    sizes = placed.groupBy("signature", "component").agg(F.count("*").alias("size"))
+    split = sizes.groupBy("signature").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    mixed = cut(placed.join(split, "signature").select("signature", "class", "component", "n", "linked", "own", "all", "largest"), "mixed")
+    other = mixed.where("component <> largest").select("signature", *[F.col(c).alias(f"{c}2") for c in ("class", "component", "n", "linked", "own", "all")])
+    leads = lambda x, y: F.col(f"own{x}") & ~F.col(f"linked{y}") & F.when(F.col(f"linked{x}"), F.col(f"all{y}")).otherwise(F.col(f"own{y}"))
+    once = (F.col("component") != F.col("component2")) & ((F.col("component") == F.col("largest")) | (F.col("class") < F.col("class2")))
+    pairs = mixed.join(other, "signature").where(_like("n", "n2", measure) & once & (leads("", "2") | leads("2", "")))
+    return pairs.select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct()
 
 
 def link_documents(docs: DataFrame, measure: Measure | None = None, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -584,10 +600,13 @@ def link_documents(docs: DataFrame, measure: Measure | None = None, key: str = "
     known = known.join(weak, "class", "left").withColumn("weak", F.coalesce("weak", F.lit(0))).withColumn("hard", F.col("weak") > F.col("room"))
     known = cut(known, "known")
     hard = groups.where("costly").select("signature", "class").join(known.where("hard").select("class"), "class", "left_semi")
-    links, crowded = _crowded(hard, known, found, docs, first, measure, key, text)
-    pairs = _across(groups.where("not costly"), known, found, measure).unionByName(crowded).distinct()
+    links, rarest = _crowded(hard, known, found, docs, first, measure, key, text)
+    stars = _verified(_near(_stars(rarest, found, TURNS), known, measure), docs, first, measure, key, text)
+    edges = edges.unionByName(links).unionByName(cut(stars, "links"))
+    found = cut(components(edges), "found")
+    pairs = _across(groups.where("not costly"), known, found, measure).unionByName(_meet(rarest, found, measure)).distinct()
     more = _verified(_near(pairs, known, measure), docs, first, measure, key, text)
-    found = components(edges.unionByName(links).unionByName(more))
+    found = components(edges.unionByName(more))
     least = first.join(found.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = cut(least, "least")
     named = least.join(least.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("class", "component_id")
