@@ -2,11 +2,17 @@
 
 The CGK walk reads a string from the left and at every step stands or moves on by a random bit that
 depends on the step and the symbol read; strings at a small edit distance give sequences at a small
-Hamming distance. Each repetition has a walk of its own and samples some of its steps; the symbols
-read there are a window's key. Keys of the windows that start at each word of an item are put in a
-table, windows start at each word of a document, and equal keys give the place where a window of
-the item's size should stand. Keys are compared as they grow, so that nearly all windows are given
-up after a few steps; that never changes which keys are equal. An edit distance then decides.
+Hamming distance. A window of an item's size is embedded as the walks that start anew at each of its
+words, so that an edit upsets the walk of its own word and few others. Each repetition samples some
+steps of walks of its own (several share a beginning, which is walked once); the symbols read there
+are a key, and a window is a candidate if the keys of two of its words, or one of a small item's, are
+the item's at the same places. Repetitions are added until edited copies of the items, at the
+greatest distance allowed, are found to the recall asked for.
+
+Windows of a document start wherever equal keys put them. Keys are compared as they grow, so that
+many are given up after a few steps; that never changes which keys are equal. Of each candidate the
+whole window of the item's size is compared: a copy within the allowed edits keeps so many of the
+item's grams of four bytes near their places, and those with fewer go. An edit distance then decides.
 
 Documents are read once and in place; nothing but matches is shuffled or kept.
 """
@@ -26,18 +32,25 @@ from tessera.llm.common import union_all, utf8
 
 #: A window holds an item if its edit similarity is at least this.
 SIMILARITY = 0.8
-#: Repetitions, steps of each walk and steps that are sampled.
-REPETITIONS, STEPS, SAMPLES = 3, 40, 20
+#: The share of copies at the greatest distance allowed, with edits at random places, that the repetitions must find.
+RECALL = 0.99
+#: By the least bytes of an item: steps and samples of a beginning, of what follows it, and how many words must agree. Shorter items are found by pieces.
+WALKS = ((72, (10, 4), (26, 7), 2), (41, (10, 4), (14, 5), 1))
+#: Walks of one beginning.
+BRANCHES = 5
+#: Items on which the recall is measured, and the most beginnings.
+_MEASURED, _MOST = 200, 64
 #: Items up to so many bytes are held by every task at once; more are taken in blocks.
 BLOCK_BYTES = 8 << 20
 #: Normalised bytes walked at once.
 CHUNK = 1 << 20
 _SLICE = 1 << 16
-#: Bytes of a short item's piece that are looked for.
+#: Bytes of a short item's piece that are looked for, and of a gram.
 _SEED = 4
+_GRAM_BITS = 16
+#: Zeros between texts that are walked together: more than a walk has steps.
+_PAD = 40
 _TABLE_BITS = 18
-#: Growing keys are compared after so many samples: the first ones tell few windows apart.
-_COMPARED = (4, 6, 7, 8, 10, 12)
 _TO_SPACE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -54,37 +67,60 @@ def normalise(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return raw[at], at
 
 
+State = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def begin(starts: np.ndarray) -> State:
+    """(start, key, place read next) of walks that start there."""
+    return starts, np.zeros(starts.size, dtype=np.uint64), starts.astype(np.int64)
+
+
 @dataclass(frozen=True)
-class Walk:
-    """One repetition: moves[step, symbol] is 0 or 1, sampled are the steps whose symbols make the key."""
+class Stretch:
+    """Some steps of a walk: moves[step, symbol] is 0 or 1, sampled are the steps whose symbols go into the key."""
 
     moves: np.ndarray
     sampled: tuple[int, ...]
 
     @classmethod
-    def draw(cls, seed: int, steps: int = STEPS, samples: int = SAMPLES) -> Walk:
+    def draw(cls, seed: tuple[int, ...], steps: int, samples: int) -> Stretch:
         random = np.random.default_rng(seed)
         moves = random.integers(0, 2, (steps, 256)).astype(np.int64)
         edges = np.linspace(0, steps, samples + 1).astype(int)
         return cls(moves, tuple(int(random.integers(a, b)) for a, b in zip(edges, edges[1:], strict=False)))
 
-    def keys(self, text: np.ndarray, starts: np.ndarray, tables: list[np.ndarray | None] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, key, last place read) of the windows from starts; with tables, those alone whose growing key is in each that is given."""
-        at, key = starts.astype(np.int64), np.zeros(starts.size, dtype=np.uint64)
-        for step in range(self.sampled[-1] + 1):
-            symbol = text[at]
-            if step in self.sampled:
+    def walk(self, text: np.ndarray, state: State, tables: list[np.ndarray] | None = None, samples: int | None = None) -> State:
+        """Where the walks stand after these steps, or at the last of so many samples; with tables, those alone whose growing key is in the table of each sample."""
+        starts, key, at = state
+        sampled = self.sampled[:samples]
+        for step in range(self.moves.shape[0] if samples is None else sampled[-1] + 1):
+            symbol = text.take(at, mode="clip")
+            if step in sampled:
                 with np.errstate(over="ignore"):
                     key = (key ^ symbol) * np.uint64(0x9E3779B97F4A7C15)
                     key ^= key >> np.uint64(29)
-                if tables is not None and tables[self.sampled.index(step)] is not None:
-                    alive = tables[self.sampled.index(step)][(key & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)]
-                    at, key, starts, symbol = at[alive], key[alive], starts[alive], symbol[alive]
+                if tables is not None:
+                    alive = np.flatnonzero(tables[sampled.index(step)].take(_low_bits(key), mode="clip"))
+                    at, key, starts, symbol = at.take(alive), key.take(alive), starts.take(alive), symbol.take(alive)
                     if not at.size:
                         break
-            at = at + self.moves[step][symbol]
+            at = at + self.moves[step].take(symbol, mode="clip")
         return starts, key, at
 
+    def tables(self, text: np.ndarray, state: State, ends: np.ndarray) -> list[np.ndarray]:
+        """For each sample, which low bits the keys have after it, of walks that haven't come to the end of their item."""
+        out = []
+        for n in range(1, len(self.sampled) + 1):
+            _, key, at = self.walk(text, state, samples=n)
+            table = np.zeros(1 << _TABLE_BITS, dtype=bool)
+            table[_low_bits(key[at < ends])] = True
+            out.append(table)
+        return out
+
+
+def _low_bits(key: np.ndarray) -> np.ndarray:
+    return (key & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)
+
 
 def _grams(text: np.ndarray, size: int) -> np.ndarray:
     """The size bytes from each place as one number."""
@@ -94,6 +130,11 @@ def _grams(text: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _gram_hashes(text: np.ndarray) -> np.ndarray:
+    """A hash of the four bytes from each place."""
+    return (_grams(text, 4) * 0x9E3779B1 >> 13) & ((1 << _GRAM_BITS) - 1)
+
+
 def allowed_edits(size: int, similarity: float) -> int:
     return int(size * (1 - similarity) + 1e-9)
 
@@ -104,14 +145,64 @@ def _word_starts(text: np.ndarray) -> np.ndarray:
     return np.flatnonzero(~apart[1:] & apart[:-1]) + 1
 
 
+def edited(item: bytes, n: int, seed: int) -> bytes:
+    """item with n of its bytes replaced, taken out or doubled by another, at random places."""
+    random = np.random.default_rng(seed)
+    out, last = [], 0
+    for at, kind, new in zip(sorted(random.choice(len(item), n, replace=False).tolist()), random.integers(0, 3, n).tolist(), random.integers(97, 123, n).tolist(), strict=True):
+        out += [item[last:at], (bytes([new]), b"", bytes([item[at], new]))[kind]]
+        last = at + 1
+    return b"".join([*out, item[last:]])
+
+
+def _joined(texts: list[bytes], pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts one after another, each between zeros, and where each starts."""
+    apart = bytes(pad)
+    return np.frombuffer(b"\0" + b"".join(t + apart for t in texts), np.uint8), np.cumsum([1] + [len(t) + pad for t in texts])[:-1]
+
+
+class _Keys:
+    """The keys of walks with one beginning over the items of a class, sorted, and tables of the growing keys."""
+
+    def __init__(self, seed: int, kind: tuple, texts: list[bytes], which: list[int]):
+        self.least, first, rest, self.need = kind
+        self.trunk = Stretch.draw((self.least, seed), *first)
+        text, place = _joined([texts[i] for i in which], _PAD)
+        starts = _word_starts(text)
+        owner = np.searchsorted(place, starts, side="right") - 1
+        ends = (place + np.array([len(texts[i]) for i in which], dtype=np.int64))[owner]
+        offsets, items = starts - place[owner], np.array(which, dtype=np.int64)[owner]
+        self.tables = self.trunk.tables(text, begin(starts), ends)
+        state = self.trunk.walk(text, begin(starts))
+        self.branches = []
+        for n in range(BRANCHES):
+            branch = Stretch.draw((self.least, seed, n), *rest)
+            _, key, at = branch.walk(text, state, samples=len(branch.sampled))
+            inside = np.flatnonzero(at < ends)
+            order = inside[np.argsort(key[inside], kind="stable")]
+            self.branches.append((branch, branch.tables(text, state, ends), key[order], items[order], offsets[order]))
+
+    def hits(self, text: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, place where its window would start, word it was found from) for each equal key, by walks."""
+        state, out = self.trunk.walk(text, begin(starts), self.tables), []
+        for branch, tables, keys, items, offsets in self.branches:
+            word, key, _ = branch.walk(text, state, tables, len(branch.sampled))
+            left, right = np.searchsorted(keys, key, side="left"), np.searchsorted(keys, key, side="right")
+            size = right - left
+            which = np.repeat(left - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            word = np.repeat(word, size)
+            out.append((items[which], word - offsets[which], word))
+        return out
+
+
 class Items:
-    """The keys of every walk over every item: all of them sorted, and tables of the hashes of the growing keys."""
+    """The keys of every walk over every item, with as many walks for each class of sizes as the recall takes (or repetitions, if they are given)."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], repetitions: int = REPETITIONS, steps: int = STEPS, samples: int = SAMPLES, similarity: float = SIMILARITY):
-        self.ids = [i for i, _ in items]
+    def __init__(self, items: list[tuple[int | None, bytes]], similarity: float = SIMILARITY, recall: float = RECALL, repetitions: int | None = None):
+        self.ids, self.similarity = [i for i, _ in items], similarity
         self.texts = [normalise(t)[0].tobytes() for _, t in items]
         # An item that no walk fits is cut, between spaces, into one piece more than edits are allowed: one piece stands whole.
-        self.short = [i for i, t in enumerate(self.texts) if t and len(t) <= steps]
+        self.short = [i for i, t in enumerate(self.texts) if t and len(t) < WALKS[-1][0]]
         seeds: dict[int, list[tuple[int, int, int]]] = {}
         for i in self.short:
             padded = np.frombuffer(b" " + self.texts[i] + b" ", np.uint8)
@@ -119,50 +210,75 @@ class Items:
             size = min(_SEED, padded.size // pieces)
             seeds.setdefault(size, []).extend((int(_grams(padded[at : at + size], size)[0]), i, at) for at in (np.arange(pieces) * padded.size // pieces).tolist())
         self.seeds = {size: np.array(sorted(own), dtype=np.int64).T for size, own in seeds.items()}
-        self.walks = [Walk.draw(seed, steps, samples) for seed in range(repetitions)]
-        long = [i for i, t in enumerate(self.texts) if len(t) > steps]
-        pad = bytes(steps + 1)
-        text = np.frombuffer(b"\0" + b"".join(self.texts[i] + pad for i in long), np.uint8)
-        first, at = {}, 1
-        for i in long:
-            first[i] = at
-            at += len(self.texts[i]) + len(pad)
-        places = np.array([first[i] for i in long], dtype=np.int64)
-        self.tables, self.keys, self.items, self.offsets = [], [], [], []
-        for walk in self.walks:
-            starts = _word_starts(text)
-            owner = np.searchsorted(places, starts, side="right") - 1
-            ends = places[owner] + np.array([len(self.texts[i]) for i in long], dtype=np.int64)[owner] if long else starts
-            tables, sub = [], Walk(walk.moves, walk.sampled)
-            for n in range(1, samples + 1):
-                cut = Walk(sub.moves, sub.sampled[:n])
-                _, key, last = cut.keys(text, starts)
-                inside = last < ends
-                table = np.zeros(1 << _TABLE_BITS, dtype=bool)
-                table[(key[inside] & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)] = True
-                tables.append(table if n in _COMPARED or n == samples else None)
-            order = np.argsort(key[inside], kind="stable")
-            self.tables.append(tables)
-            self.keys.append(key[inside][order])
-            self.items.append(np.array(long, dtype=np.int64)[owner[inside]][order] if long else owner[inside])
-            self.offsets.append((starts - places[owner])[inside][order] if long else starts[inside])
+        self.walks: list[_Keys] = []
+        most = None
+        for kind in WALKS:
+            own = [i for i, t in enumerate(self.texts) if len(t) >= kind[0] and (most is None or len(t) < most)]
+            most = kind[0]
+            if not own:
+                continue
+            tried = own[:: -(-len(own) // _MEASURED)]
+            text, place = _joined([edited(self.texts[i], allowed_edits(len(self.texts[i]), similarity), i) for i in tried], _PAD)
+            for n in range(_MOST if repetitions is None else repetitions):
+                self.walks.append(_Keys(n, kind, self.texts, own))
+                which, _, word = self.hits(text)
+                right = np.searchsorted(place, word, side="right") - 1
+                if repetitions is None and n and np.unique(which[which == np.array(tried)[right]]).size >= recall * len(tried):
+                    break
 
     def hits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, place where its window would start, word it was found from) for each equal key of each walk; text is padded with zeros."""
-        found_items, found_places, found_words = [], [], []
+        """(item, place where its window would start, word it was found from) of the candidates: windows with as many equal keys and grams of the item as it takes. text is padded with zeros."""
+        by_need: dict[int, list[tuple[np.ndarray, ...]]] = {}
         starts = _word_starts(text)
         for first in range(0, starts.size, _SLICE):
-            for walk, tables, keys, items, offsets in zip(self.walks, self.tables, self.keys, self.items, self.offsets, strict=True):
-                at, key, _ = walk.keys(text, starts[first : first + _SLICE], tables)
-                left, right = np.searchsorted(keys, key, side="left"), np.searchsorted(keys, key, side="right")
-                size = right - left
-                which = np.repeat(left - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                found_items.append(items[which])
-                found_words.append(np.repeat(at, size))
-                found_places.append(found_words[-1] - offsets[which])
-        empty = np.zeros(0, dtype=np.int64)
-        return np.concatenate([*found_items, empty]), np.concatenate([*found_places, empty]), np.concatenate([*found_words, empty])
-
+            for made in self.walks:
+                by_need.setdefault(made.need, []).extend(made.hits(text, starts[first : first + _SLICE]))
+        out = [(np.zeros(0, np.int64),) * 3]
+        for need, found in by_need.items():
+            which, places, from_words = (np.concatenate(x) for x in zip(*found, strict=True))
+            if need > 1:
+                which, places, from_words = self._paired(which, places, from_words)
+            keep = self._alike(text, which, places)
+            out.append((which[keep], places[keep], from_words[keep]))
+        which, places, from_words = (np.concatenate(x) for x in zip(*out, strict=True))
+        return which, places, from_words
+
+    def _paired(self, which: np.ndarray, places: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hits that another word's hit of the same item agrees with, up to the allowed edits."""
+        order = np.lexsort((words, places, which))
+        which, places, words = which[order], places[order], words[order]
+        if not which.size:
+            return which, places, words
+        span = int(places.max() - places.min()) + 1
+        allowed = np.array([allowed_edits(len(t), self.similarity) for t in self.texts], dtype=np.int64)[which]
+        base, near = which * (2 * span) - places.min(), np.minimum(allowed, span // 2)
+        at = base + places
+        left, right = np.searchsorted(at, at - near, side="left"), np.searchsorted(at, at + near, side="right")
+        changes = np.concatenate([[0], np.cumsum(words[1:] != words[:-1])])
+        keep = changes[right - 1] > changes[left]
+        return which[keep], places[keep], words[keep]
+
+    def _alike(self, text: np.ndarray, which: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Whether each window keeps as many of the item's grams, no further from their places than the allowed edits move them, as these edits leave: one edit spoils four grams at most."""
+        keep = np.ones(which.size, dtype=bool)
+        known = np.zeros(1 << _GRAM_BITS, dtype=bool)
+        judged: dict[tuple[int, int], bool] = {}
+        for n, (i, place) in enumerate(zip(which.tolist(), places.tolist(), strict=True)):
+            if (i, place) not in judged:
+                item = np.frombuffer(self.texts[i], np.uint8)
+                allowed = allowed_edits(item.size, self.similarity)
+                own, left = _gram_hashes(item), item.size - 3 - 4 * allowed
+                low = max(0, place - allowed)
+                window = _gram_hashes(text[low : place + item.size + allowed])
+                step, held = max(allowed, 16), 0
+                for at in range(0, own.size, step):
+                    near = window[max(0, place + at - allowed - low) : max(0, place + at + step + allowed - low)]
+                    known[near] = True
+                    held += int(known[own[at : at + step]].sum())
+                    known[near] = False
+                judged[i, place] = held >= left
+            keep[n] = judged[i, place]
+        return keep
 
     def short_hits(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(short item, place where its window would start) for each piece of one that text holds; text and items stand between spaces."""
@@ -247,28 +363,30 @@ def matches(text: bytes, items: Items, hits: tuple[np.ndarray, np.ndarray], simi
     return out
 
 
-def find_benchmark(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES, repetitions: int = REPETITIONS) -> DataFrame:
+def find_benchmark(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES, recall: float = RECALL) -> DataFrame:
     """(key, item, distance, start, end): each benchmark item that a document holds, at its nearest window.
 
     Texts are compared with A-Z lower-cased and runs of other ASCII marks and white space as one
     space; distance counts edits of UTF-8 bytes, start and end are code points of the document.
-    A window counts if its distance is at most (1 - similarity) of the item. Items of no more
-    bytes than a walk has steps are found by their pieces, one of which every near copy holds whole,
-    and are compared from space to space. Null or empty texts and items hold
-    and are nothing; repeated rows give repeated results; empty tables give an empty one; columns
-    other than those named are ignored. Items are taken in blocks of a bounded size, each a pass
-    over the documents.
+    A window counts if its distance is at most (1 - similarity) of the item; of equally near ones the
+    first counts. recall is the share of copies at that distance, with edits at random places, that
+    the walks' repetitions have to find; nearer copies are found nearly always. Items of up to 40
+    bytes are found by their pieces, one of which every near copy holds whole, and are compared from
+    space to space. Null or empty texts and items hold and are nothing; very long texts are searched
+    whole, in chunks of whole documents; repeated rows give repeated results; empty tables give an
+    empty one; columns other than those named are ignored, whatever their names. Items are taken in
+    blocks of a bounded size, each a pass over the documents.
     """
     out = []
     for block in _blocks(items, item, item_text, block_bytes):
-        out.append(_search(docs.select(key, utf8(text).alias("_text")), block, items.schema[item].dataType, key, item, similarity, repetitions))
+        out.append(_search(docs.select(key, utf8(text).alias("_text")), block, items.schema[item].dataType, key, item, similarity, recall))
     return union_all(out)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES, repetitions: int = REPETITIONS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES, recall: float = RECALL) -> DataFrame:
     """docs less the rows that hold an item, by find_benchmark's rules. Rows are dropped where they are read, without a join, so those without a key go too."""
     for block in _blocks(items, item, item_text, block_bytes):
-        docs = _clean(docs, block, text, similarity, repetitions)
+        docs = _clean(docs, block, text, similarity, recall)
     return docs
 
 
@@ -283,11 +401,8 @@ def _blocks(items: DataFrame, item: str, item_text: str, block_bytes: int) -> It
 
 def _found(texts: pa.Array, made: Items, similarity: float) -> list[tuple[int, int, int, int, int]]:
     """(row, item, distance, start, end in code points) of the matches in some texts, which are walked in chunks."""
-    pad = bytes(STEPS + 1)
-
     def rows(chunk: list[tuple[int, bytes, np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, int, int]]:
-        joined = np.frombuffer(b"\0" + b"".join(n.tobytes() + pad for _, _, n, _ in chunk), np.uint8)
-        first = np.cumsum([1] + [n.size + len(pad) for _, _, n, _ in chunk])
+        joined, first = _joined([n.tobytes() for _, _, n, _ in chunk], _PAD)
         which, places, from_words = made.hits(joined)
         owner = np.searchsorted(first, from_words, side="right") - 1
         out = []
@@ -310,11 +425,11 @@ def _found(texts: pa.Array, made: Items, similarity: float) -> list[tuple[int, i
     return found + (rows(chunk) if chunk else [])
 
 
-def _search(docs: DataFrame, items: list[tuple[int | None, bytes]], id_type: T.DataType, key: str, item: str, similarity: float, repetitions: int) -> DataFrame:
+def _search(docs: DataFrame, items: list[tuple[int | None, bytes]], id_type: T.DataType, key: str, item: str, similarity: float, recall: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Items(shared.value, repetitions, similarity=similarity)
+        made = Items(shared.value, similarity, recall)
         ids = pa.array(made.ids, pa.null() if not made.ids else None)
         for batch in batches:
             found = _found(batch.column(1), made, similarity)
@@ -326,14 +441,15 @@ def _search(docs: DataFrame, items: list[tuple[int | None, bytes]], id_type: T.D
     return docs.mapInArrow(search, schema) if items else docs.sparkSession.createDataFrame([], schema)
 
 
-def _clean(docs: DataFrame, items: list[tuple[int | None, bytes]], text: str, similarity: float, repetitions: int) -> DataFrame:
+def _clean(docs: DataFrame, items: list[tuple[int | None, bytes]], text: str, similarity: float, recall: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Items(shared.value, repetitions, similarity=similarity)
+        made = Items(shared.value, similarity, recall)
         for batch in batches:
             keep = np.ones(batch.num_rows, dtype=bool)
-            keep[[f[0] for f in _found(batch.column(batch.schema.get_field_index("_text")), made, similarity)]] = False
-            yield batch.filter(pa.array(keep)).select([n for n in batch.schema.names if n != "_text"])
+            keep[[f[0] for f in _found(batch.column(1), made, similarity)]] = False
+            yield batch.filter(pa.array(keep)).select([0])
 
-    return docs.withColumn("_text", utf8(text)).mapInArrow(clean, docs.schema) if items else docs
+    packed = docs.select(F.struct(*docs.columns).alias("row"), utf8(text).alias("text"))
+    return packed.mapInArrow(clean, T.StructType([packed.schema["row"]])).select("row.*") if items else docs

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -118,10 +119,83 @@ def test_short_items_are_found_at_every_allowed_distance():
             copy[k * len(copy) // allowed] = ord("z")
         text = b"xx yy " + bytes(copy) + b" yy"
         made = decontaminate.Items([(0, item)])
+        assert not made.walks
         [(_, distance, start, end)] = decontaminate.matches(text, made, (np.zeros(0, np.int64), np.zeros(0, np.int64)), 0.8)
         assert distance <= allowed and start < end
 
 
+def distance_within(item, text):
+    """The least edit distance of item to any stretch of text, by the plain table."""
+    row = np.zeros(len(text) + 1, dtype=np.int64)
+    codes = np.frombuffer(text, np.uint8)
+    for i, c in enumerate(item):
+        best = np.minimum(row[:-1] + (codes != c), row[1:] + 1)
+        new = np.empty_like(row)
+        new[0] = i + 1
+        ahead = np.arange(1, row.size)
+        new[1:] = np.minimum(np.minimum.accumulate(np.minimum(best, i + 2) - ahead) + ahead, i + 1 + ahead)
+        row = new
+    return int(row.min())
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """The benchmark's items, and documents that hold copies of them with 0 to 22 % of their bytes edited, at random or evenly spread places, or nothing of them."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()][:24]
+    short = [(1000 + i, t[: 42 + i]) for i, (_, t) in enumerate(items[:8])]
+    rows, r = [], random.Random(8)
+    for n, (i, t) in enumerate(items + short):
+        raw = decontaminate.normalise(t.encode())[0].tobytes()
+        for k, share in enumerate((0.0, 0.05, 0.1, 0.15, 0.19, 0.22)):
+            copy = decontaminate.edited(raw, int(share * len(raw)), 31 * n + k).decode("utf-8", "ignore")
+            rows.append((len(rows), f"{prose(n, r.randrange(40))} {copy} {prose(n + 1, 20)}"))
+    rows += [(len(rows) + i, prose(700 + i, 150)) for i in range(20)]
+    return items + short, rows
+
+
+def test_decontamination_by_brute_force(spark, planted):
+    """Every document against every item by the plain edit distance: nothing beyond it is found, and of what is within it at least 0.97."""
+    items, rows = planted
+    norm = lambda t: decontaminate.normalise(t.encode())[0].tobytes()
+    want = {}
+    for i, t in items:
+        item = norm(t)
+        for d, text in rows:
+            if (distance := distance_within(item, norm(text))) <= decontaminate.allowed_edits(len(item), decontaminate.SIMILARITY):
+                want[d, i] = distance
+    found = decontaminate.find_benchmark(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): r.distance for r in found}
+    assert len(got) == len(found) and got.items() <= want.items() and len(got) >= 0.97 * len(want) > 100
+
+
+@pytest.mark.parametrize("even", [False, True])
+@pytest.mark.parametrize("share,least", [(0.05, 1.0), (0.1, 0.99), (0.14, 0.98), (0.17, 0.95), (0.19, 0.9)])
+def test_recall_of_the_walks(spark, share, least, even):
+    items = [(r.item_id, r.text.encode()) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    made = decontaminate.Items(items)
+    r, copies = random.Random(int(100 * share)), []
+    for t in made.texts:
+        if even:
+            n, copy = int(share * len(t)), bytearray(t)
+            for k in range(n):
+                copy[int((k + 0.5) * len(t) / n)] = r.randrange(97, 123)
+            copies.append(bytes(copy))
+        else:
+            copies.append(decontaminate.edited(t, int(share * len(t)), r.randrange(10**9)))
+    found = decontaminate._found(pa.array(copies), made, decontaminate.SIMILARITY)
+    assert len({f[0] for f in found if f[0] == f[1]}) >= least * len(copies)
+
+
+def test_decontamination_of_long_texts_and_odd_columns(spark):
+    item = prose(77, 40)
+    rows = [(1, prose(1, 150_000) + " " + near(item, 3, 2) + " " + prose(2, 1000)), (2, prose(3, 150_000)), (None, item), (2, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_text", F.lit("x")).withColumn("row", F.lit(None).cast("int")).withColumn("distance", F.lit(1))
+    known = spark.createDataFrame([(1, item), (1, item)], "item_id long, text string")
+    assert sorted(((r.doc_id, r.item_id) for r in decontaminate.find_benchmark(table, known).collect()), key=repr) == [(1, 1), (None, 1)]
+    left = decontaminate.drop_contaminated(table, known)
+    assert left.columns == table.columns and rows_of(left) == [r for r in rows_of(table) if r[0] == 2]
+
+
 # 2
 
 
