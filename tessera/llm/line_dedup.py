@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +26,10 @@ from tessera.llm.common import SPACES, cut, replaced, shuffle_partitions, utf8,
 
 #: Frequent lines in one shard, on average.
 SHARD_LINES = 50_000
-#: Arrays up to so many bytes go to every worker; beyond it the documents meet them in a join.
+#: Arrays up to so many bytes go to every worker; beyond it the documents' hashes go to the shards.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of text that ask the shards together.
+STRETCH_BYTES = 8 << 20
 _FLUSH = 200_000
 _GAMMA = 2
 
@@ -147,8 +150,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_cha
 
     A key is the line less white space at both ends, A-Z lower-cased. Returns docs with the text
     replaced by the lines that stay, joined by \\n, and n_lines (before) and n_dropped.
-    Null or empty texts hold one empty line, which stays; every row counts as a document, repeated
-    rows too; an empty table gives an empty one; input columns n_lines and n_dropped are replaced.
+    Null or empty texts hold one empty line, which stays; very long texts and lines are handled whole;
+    every row counts as a document, repeated rows too, and a line that ties with the bound is dropped;
+    an empty table gives an empty one; input columns n_lines and n_dropped are replaced, others may
+    have any name.
     """
     spark, docs = docs.sparkSession, without(docs, "n_lines", "n_dropped")
     frequent = cut(line_counts(docs, text, min_chars).where(F.col("n_docs") >= min_docs), "lines")
@@ -203,40 +208,66 @@ def _schema(docs: DataFrame, text: str) -> T.StructType:
     return T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
 
+def _stretches(docs: DataFrame, text: str) -> DataFrame:
+    """(row, t, stretch): each row with its text's bytes and the number of its stretch, some STRETCH_BYTES of text that a task read one after another."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            out = []
+            for value in batch.column(1):
+                out.append(stretch)
+                size += len(value.as_py())
+                if size >= STRETCH_BYTES:
+                    stretch, size = stretch + 1, 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=["row", "t", "stretch"])
+
+    others = [c for c in docs.columns if c != text]
+    packed = docs.select((F.struct(*others) if others else F.struct(F.lit(0).alias("none"))).alias("row"), utf8(text).alias("t"))
+    return packed.mapInArrow(number, T.StructType([*packed.schema.fields, T.StructField("stretch", T.LongType())]))
+
+
 def _probe_by_shard(docs: DataFrame, text: str, min_chars: int, n_shards: int, shards: DataFrame) -> DataFrame:
-    """Arrays too large to send everywhere: the distinct hashes of each stretch of documents go to the shards, the frequent ones come back.
+    """Arrays too large to send everywhere: the hashes of each stretch of documents go to the shards, the frequent ones come back.
 
-    A stretch is a hash class of document texts, so that copies travel together and ask once.
+    A shard's row stands before those that ask it, which stream by; what comes back meets a stretch
+    of a bounded size. Neither a shard nor a stretch grows with the input.
     """
-    spark = docs.sparkSession
-    n_stretches = 4 * shuffle_partitions(spark)
-    placed = docs.withColumn("_stretch", F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.monotonically_increasing_id()), F.lit(n_stretches).cast("long")))
-    placed = cut(placed, "placed")
+    placed = cut(_stretches(docs, text), "placed")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = {(s.as_py(), d) for s, t in zip(batch.column(0), batch.column(1), strict=True) for d in line_keys(t.as_py(), min_chars)[1] if d is not None}
+            asked = {(s, d) for t, s in zip(batch.column(0), batch.column(1).to_pylist(), strict=True) for d in line_keys(t.as_py(), min_chars)[1] if d is not None}
             both = _words([d for _, d in asked]).view("<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(np.mod(both[:, 0], n_shards)), pa.array([s for s, _ in asked], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["shard", "_stretch", "hi", "lo"])
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not right.num_rows or not left.num_rows:
-            return left.select(["_stretch", "hi", "lo"]).slice(0, 0)
-        made = _load(right.to_pylist()[0])
-        found = made.lookup(left.column("hi").to_numpy().view(np.uint64), left.column("lo").to_numpy().view(np.uint64)) > 0
-        return left.select(["_stretch", "hi", "lo"]).filter(pa.array(found))
+            yield pa.RecordBatch.from_arrays([pa.array(np.mod(both[:, 0], n_shards)), pa.array([s for s, _ in asked], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["shard", "stretch", "hi", "lo"])
 
-    asked = placed.select("_stretch", utf8(text).alias("t")).mapInArrow(ask, "shard long, _stretch long, hi long, lo long").distinct()
-    known = asked.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(answer, "_stretch long, hi long, lo long")
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, made = None, None
+        for batch in batches:
+            shard = batch.column(0).to_numpy()
+            for first, end in zip(edges := np.flatnonzero(np.diff(shard, prepend=shard[:1] - 1)).tolist(), [*edges[1:], shard.size], strict=True):
+                part = batch.slice(first, end - first)
+                if (head := part.column(4)[0].as_py()) is not None:
+                    number, made = int(shard[first]), _load(head)
+                    part = part.slice(1)
+                if made is not None and number == shard[first] and part.num_rows:
+                    found = made.lookup(part.column(2).to_numpy().view(np.uint64), part.column(3).to_numpy().view(np.uint64)) > 0
+                    yield part.select([1, 2, 3]).filter(pa.array(found))
+
+    parts = ("sizes", "bits", "fingerprints", "counts")
+    heads = shards.select("shard", *[F.lit(None).cast("long").alias(c) for c in ("stretch", "hi", "lo")], F.struct(*parts).alias("arrays"))
+    asked = placed.select("t", "stretch").mapInArrow(ask, "shard long, stretch long, hi long, lo long")
+    met = heads.unionByName(asked.withColumn("arrays", F.lit(None).cast(heads.schema["arrays"].dataType))).repartition(shuffle_partitions(docs.sparkSession), "shard")
+    known = met.sortWithinPartitions("shard", F.col("stretch").asc_nulls_first()).mapInArrow(answer, "stretch long, hi long, lo long")
 
     def drop(left: pa.Table, right: pa.Table) -> pa.Table:
         gone_set = {h.to_bytes(8, "little", signed=True) + x.to_bytes(8, "little", signed=True) for h, x in zip(right.column("hi").to_pylist(), right.column("lo").to_pylist(), strict=True)}
         kept = []
-        for value in left.column(text).to_pylist():
-            lines, digests = line_keys((value or "").encode(), min_chars)
+        for value in left.column("t"):
+            lines, digests = line_keys(value.as_py(), min_chars)
             kept.append(_drop(lines, np.array([d in gone_set for d in digests], dtype=bool)))
-        body = left.drop_columns(["_stretch"])
-        body = body.set_column(body.schema.get_field_index(text), text, pa.array([x[0] for x in kept], pa.binary()).cast(pa.string()))
-        return body.append_column("n_lines", pa.array([x[1] for x in kept], pa.int64())).append_column("n_dropped", pa.array([x[2] for x in kept], pa.int64()))
+        return pa.table([left.column("row"), pa.array([x[0] for x in kept], pa.binary()).cast(pa.string()), pa.array([x[1] for x in kept], pa.int64()), pa.array([x[2] for x in kept], pa.int64())], names=["row", "t", "n_lines", "n_dropped"])
 
-    return placed.groupBy("_stretch").cogroup(known.groupBy("_stretch")).applyInArrow(drop, _schema(docs, text))
+    schema = T.StructType([placed.schema["row"], T.StructField("t", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    done = placed.groupBy("stretch").cogroup(known.groupBy("stretch")).applyInArrow(drop, schema)
+    return done.select(*[F.col("t").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns], "n_lines", "n_dropped")
