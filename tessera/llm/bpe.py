@@ -4,8 +4,9 @@ Tasks split texts into pre-tokens and number the distinct ones of each block of
 shuffle deals the blocks' distinct words to buckets by the word's hash, so that every distinct word
 of the corpus is met in one place and encoded once; it also deals out the blocks' sequences of word
 numbers (the pre-tokens' positions). The ids go back to the blocks, where the sequences are waiting
-in the partitions of that same shuffle, and are put together by position. Decoding joins ids with
-the table of token bytes.
+in the partitions of that same shuffle, and are put together by position. Decoding joins the ids
+with the table of token bytes: a hash join in each task while the table is small, as vocabularies
+are, and a shuffled join of exploded ids beyond.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -25,10 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import replaced, shuffle_partitions, utf8, without
+from tessera.llm.common import cut, shuffle_partitions, utf8, without
 
 #: UTF-8 bytes of text in a block, about.
 BLOCK_BYTES = 8 << 20
+#: Words whose ids a task remembers at once; beyond it starts anew, so that its memory is bounded however many words a bucket has.
+KNOWN_WORDS = 1 << 20
+#: Token tables up to so many rows and bytes are held by every task.
+TABLE_ROWS, TABLE_BYTES = 1 << 20, 64 << 20
+# Patterns whose matches all lie within a stretch of _CHUNK. With others texts are split whole.
+CHUNKED = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
 #: A stretch of white space (Unicode's) and what follows it: no pre-token crosses its ends, whatever stands around it.
 _WHITE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
@@ -131,14 +139,15 @@ def _to_ipc(batch: pa.RecordBatch) -> bytes:
 class _Block:
     """The documents gathered so far: their pre-tokens as numbers into the block's distinct chunks."""
 
-    def __init__(self) -> None:
+    def __init__(self, chunked: bool) -> None:
         self.chunks: dict[str, int] = {}
         self.docs: list[np.ndarray] = []
-        self.size = 0
+        self.size, self.chunked = 0, chunked
 
-    def add(self, text: str) -> None:
-        chunks = self.chunks
-        self.docs.append(np.fromiter((chunks.setdefault(c, len(chunks)) for c in _CHUNK.findall(text)), dtype=np.int64))
+    def add(self, text: bytes) -> None:
+        chunks, whole = self.chunks, text.decode("utf-8", "replace")
+        found = _CHUNK.findall(whole) if self.chunked else [whole] if whole else []
+        self.docs.append(np.fromiter((chunks.setdefault(c, len(chunks)) for c in found), dtype=np.int64))
         self.size += len(text)
 
     def rows(self, keys: pa.RecordBatch, pattern: regex.Pattern, n_buckets: int) -> list[tuple[int, int, bytes]]:
@@ -178,29 +187,31 @@ def spread(which: np.ndarray, starts: np.ndarray, lengths: np.ndarray, values: n
 def encode(docs: DataFrame, ranks_path: str, pattern: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The columns keys and ids array<int>: the tokens of each text.
 
-    Every match of the pattern is encoded by itself, without special tokens. Null and empty texts
-    give no ids; repeated rows, null keys and words of any length are kept; an empty table gives an
-    empty one; columns other than keys and the text are left out, and a key named ids is refused.
+    Every match of the pattern is encoded by itself, without special tokens; of pairs with the same
+    rank the leftmost is merged first. Null and empty texts give no ids; very long texts are encoded
+    whole, in a block of their own; repeated rows, null keys and words of any length are kept; an
+    empty table gives an empty one; columns other than keys and the text are left out, and a key
+    named ids is refused.
     """
     if "ids" in keys:
         raise ValueError("a key column may not be named ids")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
     n_parts = shuffle_partitions(spark)
-    n_buckets = 2 * n_parts
+    n_buckets, chunked = 2 * n_parts, pattern in CHUNKED
     schema = T.StructType([docs.schema[k] for k in keys])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(pattern)
         for batch in batches:
             texts, own = batch.column(0), batch.select(list(batch.schema.names[1:])) if len(keys) else None
-            block, first = _Block(), 0
+            block, first = _Block(chunked), 0
             for i, value in enumerate(texts):
-                block.add(value.as_py().decode("utf-8", "replace"))
+                block.add(value.as_py())
                 if block.size >= block_bytes or i + 1 == len(texts):
                     rows = block.rows(own.slice(first, i + 1 - first), compiled, n_buckets)
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "block", "body"])
-                    block, first = _Block(), i + 1
+                    block, first = _Block(chunked), i + 1
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, known = shared.value, {}
@@ -215,6 +226,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keys: tuple[str, ...]
                     at += size
                     ids = known.get(word)
                     if ids is None:
+                        if len(known) >= KNOWN_WORDS:
+                            known.clear()
                         ids = known[word] = merge(word, ranks)
                     out += ids
                     lengths.append(len(ids))
@@ -250,22 +263,59 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keys: tuple[str, ...]
     empty = [(f.name, f.type) for f in to_arrow_schema(result)]
     dealt = docs.select(utf8(text).alias("_text"), *keys).mapInArrow(split, "part long, block long, body binary").repartition(n_parts, "part")
     ids = dealt.mapInArrow(encode_words, "part long, bucket long, body binary")
-    return dealt.groupBy("part").cogroup(ids.groupBy("part")).applyInArrow(together, result)
-
-
-def decode(tokens: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
-    """tokens with the column decoded: the bytes of their ids by the token table. Null ids give null; an input column decoded is replaced."""
+    # Of the words' rows nothing but their place goes on: the sequences are waiting beside them.
+    waiting = dealt.select("part", "block", F.when(F.col("part") >= 0, F.col("body")).alias("body"))
+    return waiting.groupBy("part").cogroup(ids.groupBy("part")).applyInArrow(together, result)
+
+
+def _glue(lists: pa.Array, number: pa.Array, tokens: pa.Array) -> pa.Array:
+    """For each list of ids the bytes of their tokens, one after another; null for null. number holds the tokens' ids, in order."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    at = pc.index_in(lists.flatten(), value_set=number)
+    if at.null_count:
+        raise ValueError("an id is not in the token table")
+    found = tokens.take(at)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    offsets = np.frombuffer(found.buffers()[1], "<i8", len(found) + 1, 8 * found.offset)[ends] if len(found) else np.zeros(len(lists) + 1, "<i8")
+    glued = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(offsets)), found.buffers()[2] if len(found) else pa.py_buffer(b"")])
+    return pc.if_else(lists.is_valid(), glued, None)
+
+
+def decode(tokens: DataFrame, table: DataFrame, ids: str = "ids", most_rows: int = TABLE_ROWS, most_bytes: int = TABLE_BYTES) -> DataFrame:
+    """tokens with the column decoded: the bytes of their ids by the token table (id, token).
+
+    Null ids give null, an empty list no bytes; an id that the table lacks is an error; very long
+    lists and repeated rows are decoded whole; an empty table of rows gives an empty one; an input
+    column decoded is replaced, others may have any name.
+    """
     spark, tokens = tokens.sparkSession, without(tokens, "decoded")
-    ranks = read_ranks(ranks_path)
-    table = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, i in ranks.items():
-        table[i] = token
-    shared = spark.sparkContext.broadcast(table)
+    size = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("token")), F.lit(0)).alias("b")).first()
+    if size["n"] > most_rows or size["b"] > most_bytes:
+        return _decode_by_shuffle(tokens, table, ids)
+    rows = sorted((r["id"], bytes(r["token"])) for r in table.select("id", "token").collect())
+    shared = spark.sparkContext.broadcast(rows)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.__getitem__
+        number, token = pa.array([r[0] for r in shared.value], pa.int32()), pa.array([r[1] for r in shared.value], pa.large_binary())
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            yield replaced(batch, decoded=pa.array([None if not x.is_valid else b"".join(map(get, x.values.to_pylist())) for x in lists], pa.binary()))
-
-    return tokens.mapInArrow(join, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())]))
+            lists, at = batch.column(1), 0
+            # What is decoded at once stays within some 64 MB, or is one row.
+            weight = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(weight, (weight[at - 1] if at else 0) + (4 << 20), side="right")))
+                part = batch.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([part.column(0), _glue(part.column(1), number, token).cast(pa.binary())], names=["row", "decoded"])
+                at = end
+
+    packed = tokens.select(F.struct(*tokens.columns).alias("row"), F.col(ids).cast("array<int>").alias("ids"))
+    return packed.mapInArrow(join, T.StructType([packed.schema["row"], T.StructField("decoded", T.BinaryType())])).select("row.*", "decoded")
+
+
+def _decode_by_shuffle(tokens: DataFrame, table: DataFrame, ids: str) -> DataFrame:
+    """The same by a join of exploded ids; each row gets its tokens back in order."""
+    rows = cut(tokens.select(F.struct(*tokens.columns).alias("row"), F.col(ids).alias("ids"), F.monotonically_increasing_id().alias("n")), "rows")
+    each = rows.select("n", F.posexplode("ids").alias("pos", "id")).join(table.select("id", F.hex("token").alias("token")), "id", "left")
+    each = each.withColumn("token", F.when(F.col("token").isNull(), F.raise_error(F.lit("an id is not in the token table"))).otherwise(F.col("token")))
+    glued = each.groupBy("n").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "")).alias("decoded"))
+    empty = F.when(F.col("ids").isNotNull(), F.lit(b""))
+    return rows.join(glued, "n", "left").select("row.*", F.coalesce("decoded", empty).alias("decoded"))

@@ -480,8 +480,12 @@ def test_line_dedup(spark, none, most):
     r = random.Random(6)
     lines = [f"line {i} É" for i in range(30)] + ["", "  ", "\u2003x"]
     texts = ["\n".join(r.choice([str.upper, str, lambda x: f" \t{x}\r"])(r.choice(lines)) for _ in range(r.randrange(0, 9))) for _ in range(80)] + [None, "", "\n\n", "same\nsame\nsame"]
-    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_lines", F.lit("clash")).repartition(4)
+    texts += ["\n".join(f"of its own {i}\nline {i % 40} É" for i in range(40_000)), *["twice\n  LINE 3 É "] * 6]
+    rows = list(enumerate(texts[:-6])) + [(999, t) for t in texts[-6:]]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("clash")).withColumn("t", F.lit(5)).withColumn("row", F.lit(None).cast("int")).withColumn("stretch", F.lit("s")).repartition(4)
     got = line_dedup.dedup_lines(table, min_docs=10, broadcast_bytes=most)
+    assert got.columns == ["doc_id", "text", "t", "row", "stretch", "n_lines", "n_dropped"] and got.where("t = 5 AND stretch = 's'").count() == len(texts)
+    assert line_dedup.dedup_lines(table.select("text"), min_docs=10, broadcast_bytes=most).count() == len(texts)
     assert sorted((x.text, x.n_lines, x.n_dropped) for x in got.collect()) == brute_lines(texts, 10)
     assert line_dedup.dedup_lines(none, broadcast_bytes=most).count() == 0
 
@@ -586,7 +590,9 @@ def library(ranks):
 
 
 def test_bpe_is_that_of_the_library(spark, docs, none, texts, library):
-    got = bpe.decode(bpe.encode(docs.withColumn("decoded", F.lit(1)), P.path(queries.RANKS), P.PATTERN, keys=("doc_id", "decoded"), block_bytes=500), P.path(queries.RANKS)).collect()
+    got = bpe.decode(bpe.encode(docs.withColumn("decoded", F.lit(1)), P.path(queries.RANKS), P.PATTERN, keys=("doc_id", "decoded"), block_bytes=500), bpe.token_table(spark, P.path(queries.RANKS)))
+    assert got.columns == ["doc_id", "ids", "decoded"]
+    got = got.collect()
     assert len(got) == docs.count()
     for r in got:
         text = texts[r.doc_id if r.doc_id is not None else 2] or ""
@@ -594,6 +600,30 @@ def test_bpe_is_that_of_the_library(spark, docs, none, texts, library):
     assert bpe.encode(none, P.path(queries.RANKS), P.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_decoding_joins_the_token_table(spark, most):
+    table = spark.createDataFrame([(i, bytearray(f"<{i}>".encode() * (i % 3))) for i in range(50)], "id int, token binary")
+    rows = [(1, [3, 4, 4]), (1, [3, 4, 4]), (None, []), (2, None), (3, list(range(50)) * 200), (4, [0])]
+    lists = spark.createDataFrame(rows, "n long, ids array<int>").withColumn("decoded", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("pos", F.lit(2))
+    got = bpe.decode(lists, table, most_rows=most)
+    assert got.columns == ["n", "ids", "row", "pos", "decoded"]
+    want = [(n, None if ids is None else b"".join(f"<{i}>".encode() * (i % 3) for i in ids)) for n, ids in rows]
+    assert sorted(((r.n, None if r.decoded is None else bytes(r.decoded)) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert bpe.decode(lists.limit(0), table, most_rows=most).count() == 0
+    with pytest.raises(Exception, match="not in the token table"):
+        bpe.decode(spark.createDataFrame([(1, [77])], "n long, ids array<int>"), table, most_rows=most).collect()
+
+
+def test_patterns_that_cross_white_space_see_whole_texts(spark):
+    pattern = r"[a-z]+\s*[\r\n]+|[a-z]+|\s+|."
+    table = spark.createDataFrame([(1, "ab \n\ncd  ef\n"), (2, ""), (3, None)], "doc_id long, text string")
+    import regex
+
+    ranks = bpe.read_ranks(P.path(queries.RANKS))
+    got = {r.doc_id: r.ids for r in bpe.encode(table, P.path(queries.RANKS), pattern).collect()}
+    assert got == {1: [i for w in regex.findall(pattern, "ab \n\ncd  ef\n") for i in bpe.merge(w.encode(), ranks)], 2: [], 3: []}
+
+
 @settings(max_examples=300, deadline=None)
 @given(text=st.text(alphabet=st.one_of(st.sampled_from(" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u2003\u2028\u3000'sdtlmrve.,!a1\u00e9"), st.characters(codec="utf-8")), max_size=60))
 def test_chunks_split_as_whole_texts(text, library, ranks):
