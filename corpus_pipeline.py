@@ -42,7 +42,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path(RANKS)
     ids = bpe.encode(docs, path, public_tokenizers.PATTERN, keys=("doc_id", "lang", "source"))
-    return bpe.decode(ids, path).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.decode(ids, bpe.token_table(spark, path)).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality classifier", quality_stage), ("line dedup", line_stage), ("n-gram Jaccard join", near_copy_stage), ("benchmark decontamination", benchmark_stage), ("byte-level BPE", token_stage)]
