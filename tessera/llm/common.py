@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -59,6 +60,22 @@ def utf8(name: str = "text"):
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
 
 
+def packed(docs: DataFrame, text: str) -> DataFrame:
+    """(row, text): the other columns of docs as one struct, so that no name can clash with an operator's, and the text, which goes to the tasks once."""
+    others = [c for c in docs.columns if c != text]
+    return docs.select((F.struct(*others) if others else F.struct(F.lit(0).alias("none"))).alias("row"), F.col(text).alias("text"))
+
+
+def unpacked(df: DataFrame, docs: DataFrame, text: str, *more: str) -> DataFrame:
+    """The columns of docs out of (row, text), and more of df."""
+    return df.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns], *more)
+
+
+def raw_texts(column: pa.Array) -> Iterator[bytes]:
+    """The UTF-8 bytes of a string column's values, one at a time; null counts as empty."""
+    return (value.as_py() or b"" for value in column.cast(pa.binary()))
+
+
 def replaced(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     """batch with columns of those names replaced, or added at the end."""
     names, arrays = list(batch.schema.names), list(batch.columns)

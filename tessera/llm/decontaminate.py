@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import union_all, utf8
+from tessera.llm.common import packed, raw_texts, union_all, unpacked, utf8
 
 #: A window holds an item if its edit similarity is at least this.
 SIMILARITY = 0.8
@@ -415,8 +415,7 @@ def _found(texts: pa.Array, made: Items, similarity: float) -> list[tuple[int, i
         return out
 
     found, chunk, size = [], [], 0
-    for row, value in enumerate(texts):
-        raw = value.as_py()
+    for row, raw in enumerate(raw_texts(texts)):
         chunk.append((row, raw, *normalise(raw)))
         size += len(raw)
         if size >= CHUNK:
@@ -449,7 +448,7 @@ def _clean(docs: DataFrame, items: list[tuple[int | None, bytes]], text: str, si
         for batch in batches:
             keep = np.ones(batch.num_rows, dtype=bool)
             keep[[f[0] for f in _found(batch.column(1), made, similarity)]] = False
-            yield batch.filter(pa.array(keep)).select([0])
+            yield batch.filter(pa.array(keep))
 
-    packed = docs.select(F.struct(*docs.columns).alias("row"), utf8(text).alias("text"))
-    return packed.mapInArrow(clean, T.StructType([packed.schema["row"]])).select("row.*") if items else docs
+    both = packed(docs, text)
+    return unpacked(both.mapInArrow(clean, both.schema), docs, text) if items else docs

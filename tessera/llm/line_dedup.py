@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import SPACES, cut, replaced, shuffle_partitions, utf8, without
+from tessera.llm.common import SPACES, cut, packed, replaced, shuffle_partitions, unpacked, utf8, without
 
 #: Frequent lines in one shard, on average.
 SHARD_LINES = 50_000
@@ -209,7 +209,7 @@ def _schema(docs: DataFrame, text: str) -> T.StructType:
 
 
 def _stretches(docs: DataFrame, text: str) -> DataFrame:
-    """(row, t, stretch): each row with its text's bytes and the number of its stretch, some STRETCH_BYTES of text that a task read one after another."""
+    """(row, text, stretch): each row with its text's bytes and the number of its stretch, some STRETCH_BYTES of text that a task read one after another."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stretch, size = TaskContext.get().partitionId() << 32, 0
@@ -220,11 +220,10 @@ def _stretches(docs: DataFrame, text: str) -> DataFrame:
                 size += len(value.as_py())
                 if size >= STRETCH_BYTES:
                     stretch, size = stretch + 1, 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=["row", "t", "stretch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=["row", "text", "stretch"])
 
-    others = [c for c in docs.columns if c != text]
-    packed = docs.select((F.struct(*others) if others else F.struct(F.lit(0).alias("none"))).alias("row"), utf8(text).alias("t"))
-    return packed.mapInArrow(number, T.StructType([*packed.schema.fields, T.StructField("stretch", T.LongType())]))
+    both = packed(docs, text).select("row", utf8("text").alias("text"))
+    return both.mapInArrow(number, T.StructType([*both.schema.fields, T.StructField("stretch", T.LongType())]))
 
 
 def _probe_by_shard(docs: DataFrame, text: str, min_chars: int, n_shards: int, shards: DataFrame) -> DataFrame:
@@ -256,18 +255,18 @@ def _probe_by_shard(docs: DataFrame, text: str, min_chars: int, n_shards: int, s
 
     parts = ("sizes", "bits", "fingerprints", "counts")
     heads = shards.select("shard", *[F.lit(None).cast("long").alias(c) for c in ("stretch", "hi", "lo")], F.struct(*parts).alias("arrays"))
-    asked = placed.select("t", "stretch").mapInArrow(ask, "shard long, stretch long, hi long, lo long")
+    asked = placed.select("text", "stretch").mapInArrow(ask, "shard long, stretch long, hi long, lo long")
     met = heads.unionByName(asked.withColumn("arrays", F.lit(None).cast(heads.schema["arrays"].dataType))).repartition(shuffle_partitions(docs.sparkSession), "shard")
     known = met.sortWithinPartitions("shard", F.col("stretch").asc_nulls_first()).mapInArrow(answer, "stretch long, hi long, lo long")
 
     def drop(left: pa.Table, right: pa.Table) -> pa.Table:
         gone_set = {h.to_bytes(8, "little", signed=True) + x.to_bytes(8, "little", signed=True) for h, x in zip(right.column("hi").to_pylist(), right.column("lo").to_pylist(), strict=True)}
         kept = []
-        for value in left.column("t"):
+        for value in left.column("text"):
             lines, digests = line_keys(value.as_py(), min_chars)
             kept.append(_drop(lines, np.array([d in gone_set for d in digests], dtype=bool)))
-        return pa.table([left.column("row"), pa.array([x[0] for x in kept], pa.binary()).cast(pa.string()), pa.array([x[1] for x in kept], pa.int64()), pa.array([x[2] for x in kept], pa.int64())], names=["row", "t", "n_lines", "n_dropped"])
+        return pa.table([left.column("row"), pa.array([x[0] for x in kept], pa.binary()).cast(pa.string()), pa.array([x[1] for x in kept], pa.int64()), pa.array([x[2] for x in kept], pa.int64())], names=["row", "text", "n_lines", "n_dropped"])
 
-    schema = T.StructType([placed.schema["row"], T.StructField("t", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    schema = T.StructType([placed.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     done = placed.groupBy("stretch").cogroup(known.groupBy("stretch")).applyInArrow(drop, schema)
-    return done.select(*[F.col("t").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns], "n_lines", "n_dropped")
+    return unpacked(done, docs, text, "n_lines", "n_dropped")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import by_keys, cut, utf8, without
+from tessera.llm.common import by_keys, cut, packed, raw_texts, unpacked, utf8, without
 
 #: The bound of the labelled sample: so many rows of each class, those of the least hash of doc_id.
 SAMPLE = 3_000
@@ -152,20 +152,20 @@ def train(sample: DataFrame, label: str, n_words: int = WORDS, penalty: float =
     return Model(vocabulary, w[: len(vocabulary)], w[len(vocabulary) : -1], mean, scale, float(w[-1]))
 
 
-def score(docs: DataFrame, models: list[Model | None], text: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """The columns of docs (those named, else all) with evidence: the log odds that a text is good by every model; 0 without a model."""
-    columns = [c for c in (docs.columns if columns is None else columns) if c.lower() != "evidence"]
+def score(docs: DataFrame, models: list[Model | None], text: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs, without the text if it isn't kept, with evidence: the log odds that the text is good by every model; 0 without a model."""
+    docs = without(docs, "evidence")
     shared = docs.sparkSession.sparkContext.broadcast([m for m in models if m])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            evidence = pa.array([min((m.log_odds(t.as_py()) for m in known), default=0.0) for t in batch.column(1)], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), evidence], names=["row", "evidence"])
+            evidence = pa.array([min((m.log_odds(t) for m in known), default=0.0) for t in raw_texts(batch.column(1))], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + keep_text], evidence], names=["row", "text", "evidence"] if keep_text else ["row", "evidence"])
 
-    packed = docs.select(F.struct(*columns).alias("row"), utf8(text).alias("text"))
-    scored = packed.mapInArrow(run, T.StructType([packed.schema["row"], T.StructField("evidence", T.DoubleType())]))
-    return scored.select("row.*", "evidence")
+    both = packed(docs, text)
+    scored = both.mapInArrow(run, T.StructType([*both.schema.fields[: 1 + keep_text], T.StructField("evidence", T.DoubleType())]))
+    return unpacked(scored, docs if keep_text else docs.drop(text), text, "evidence")
 
 
 def _logit(p: Column) -> Column:
@@ -224,15 +224,17 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     columns = list(docs.columns if columns is None else columns)
     drawn = _sample(docs, labels, {good: 1, bad: 0}, key, text, sample)
     models = [train(drawn, c) for c in ("c0", "c1")]
-    packed = docs.select(F.struct(*columns).alias("_row"), F.col(key).alias("_key"), F.col(host).alias("_h"), F.col(path).alias("_q"), F.col(text).alias("_text"))
-    scored = cut(score(packed, models, "_text", ["_row", "_key", "_h", "_q"]), "evidence")
+    narrow = [c for c in columns if c != text]
+    carried = docs.select((F.struct(*narrow) if narrow else F.struct(F.lit(0).alias("none"))).alias("_row"), F.col(key).alias("_key"), F.col(host).alias("_h"), F.col(path).alias("_q"), F.col(text).alias("_text"))
+    scored = cut(score(carried, models, "_text", text in columns), "evidence")
     least = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(*[F.min(F.when(F.col(c).isin(0, 1), F.when(F.col(c) == g, 1).otherwise(0))).alias(f"_{n}") for n, (c, g) in enumerate(((good, 1), (bad, 0)))])
     least = cut(least.select("_key", F.least("_0", "_1").cast("double").alias("_label")).where(F.col("_label").isNotNull()), "labelled")
     scored = by_keys(scored, least, "_key", "left").withColumn("_p", F.coalesce("_label", 1 / (1 + F.exp(-F.col("evidence")))))
     sites, mean, by_host, by_path = site_rates(scored, "_h", "_q", F.col("_p"))
     near = by_keys(scored, sites, (F.col("_h").eqNullSafe(F.col("_host"))) & (F.col("_q").eqNullSafe(F.col("_path"))), "left")
     host_rate, path_rate = posteriors(sites, mean, by_host, by_path, F.col("_p"))
-    rated = near.select("_row", "evidence", host_rate.alias("host_rate"), path_rate.alias("path_rate"))
+    own = [F.col("_text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in columns]
+    rated = near.select(F.struct(*own).alias("_row"), "evidence", host_rate.alias("host_rate"), path_rate.alias("path_rate"))
     shift = F.least(F.greatest(_logit(F.col("path_rate")) - float(np.log(mean / (1 - mean))), F.lit(-site_limit)), F.lit(site_limit))
     judged = rated.withColumn("p_good", 1 / (1 + F.exp(-(F.col("evidence") + shift))))
     return judged.select("_row.*", "evidence", "host_rate", "path_rate", "p_good", (F.col("p_good") >= threshold).alias("keep"))
