@@ -8,7 +8,8 @@ holds.
 
 A window is hashed only if it holds words without which no template can be contained to the
 threshold: of every template a few words are named that so many of its shingles hold that the rest
-alone would be below it. That skips nearly all texts and loses nothing.
+alone would be below it. That skips nearly all texts and loses nothing. The windows of all classes
+of templates are cut in one scan of the texts, and meet the bands of their class in one join.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ import math
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import union_all
-
 SHINGLE = 5
 CONTAINMENT = 0.8
 #: The chance that the bands of a window that contains a template to the threshold all miss it.
 MISS = 1e-4
+#: Templates of so many characters together are broadcast.
+BROADCAST_CHARS = 4 << 20
 #: A word of a text.
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -89,25 +90,60 @@ def bands_for(similarity: float, miss: float = MISS) -> int:
     return max(1, math.ceil(math.log(miss) / math.log(1 - similarity)))
 
 
-def _shingles(words: str, k: int) -> Column:
-    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>"))
+def _shingles(words: Column, k: Column) -> Column:
+    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def _minima(shingles: str, n_bands: int) -> Column:
+def _minima(shingles: Column, n_bands: Column) -> Column:
     """An array of (band, least hash of the shingles under the band's seed)."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda b: F.struct(b.alias("band"), F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b))).alias("least")))
+    return F.transform(F.sequence(F.lit(0), n_bands - 1), lambda b: F.struct(b.alias("band"), F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b))).alias("least")))
+
+
+@dataclass(frozen=True)
+class Kind:
+    """A class of templates: their shingles have k words, their windows size words, one every stride; n_bands find those of enough similarity; without one of the anchors a window holds none of them."""
+
+    number: int
+    templates: tuple[Template, ...]
+    anchors: tuple[str, ...]
+    k: int
+    stride: int
+    size: int
+    n_bands: int
+
+    @classmethod
+    def of(cls, number: int, templates: list[Template], needed: dict[str, set[str]], containment: float) -> Kind:
+        k, span = templates[0].k, templates[0].span
+        stride = -(-span // 2)
+        size = span + stride
+        least = min(len(t.shingles) for t in templates)
+        similarity = containment * least / (size - k + 1 + (1 - containment) * least)
+        return cls(number, tuple(templates), tuple(sorted(set().union(*(needed[t.name] for t in templates)))), k, stride, size, bands_for(similarity))
+
+    def windows(self, words: str) -> Column:
+        """The windows that hold an anchor, as (kind, start, words)."""
+        anchors = F.array(*map(F.lit, self.anchors))
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(self.stride))
+        cut = F.transform(starts, lambda i: F.struct(F.lit(self.number).alias("kind"), i.cast("long").alias("start"), F.slice(words, i + 1, F.lit(self.size)).alias("words")))
+        return F.when(F.arrays_overlap(F.col(words), anchors), F.filter(cut, lambda w: F.arrays_overlap(w["words"], anchors)))
+
+
+def _by_kind(kinds: list[Kind], name: str) -> Column:
+    """The value that the row's kind has under this name."""
+    return F.element_at(F.array(*[F.lit(getattr(x, name)) for x in kinds]), F.col("kind") + 1)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """(key, license, containment, start_word) of each template that a document contains to the threshold: the greatest containment, and the first window that has it.
 
     Words are runs of letters and digits, lower-cased; shingles have five words, or all of a shorter
-    template. Rows with the same key are one document; null or empty texts contain nothing; without
-    templates or rows there are no results; other columns are ignored.
+    template. Rows with the same key are one document; of windows with the same containment the first
+    counts; very long texts are scanned whole; null or empty texts contain nothing; without templates
+    or rows there are no results; other columns are ignored, whatever their names.
     """
     known = [t for t in (template(n, x) for n, x in (TEMPLATES if templates is None else templates).items()) if t.words]
     spark = docs.sparkSession
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, license string, containment double, start_word long"
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, license string, containment double, start_word long"
     if not known:
         return spark.createDataFrame([], schema)
     counts: dict[str, int] = {}
@@ -115,12 +151,23 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, key:
         for w in set(t.words):
             counts[w] = counts.get(w, 0) + 1
     needed = {t.name: t.needed(containment, counts) for t in known}
+    classes = sorted({(t.k, t.span) for t in known})
+    kinds = [Kind.of(i, [t for t in known if (t.k, t.span) == c], needed, containment) for i, c in enumerate(classes)]
     anchors = sorted(set().union(*needed.values()))
     lower = F.lower(F.coalesce(F.col(text), F.lit("")))
     hopeful = docs.select(F.col(key).alias("_key"), lower.alias("_text")).where(_contains_any("_text", anchors))
     worded = hopeful.select("_key", F.filter(F.split("_text", WORD_BREAK), lambda w: w != "").alias("_words"))
-    found = [_class(spark, worded, [t for t in known if (t.k, t.span) == kind], needed, kind, containment) for kind in sorted({(t.k, t.span) for t in known})]
-    best = union_all(found).groupBy("_key", "license").agg(F.max("containment").alias("containment"), F.max_by("start_word", F.struct("containment", -F.col("start_word"))).alias("start_word"))
+    cut = worded.select("_key", F.explode(F.flatten(F.array_compact(F.array(*[x.windows("_words") for x in kinds])))).alias("w"))
+    windows = cut.select("_key", F.col("w.kind").alias("kind"), F.col("w.start").alias("start_word"), F.col("w.words").alias("_window"))
+    hashed = windows.select("_key", "kind", "start_word", _shingles(F.col("_window"), _by_kind(kinds, "k")).alias("_shingles")).where(F.size("_shingles") > 0)
+    banded = hashed.select("_key", "kind", "start_word", "_shingles", F.explode(_minima(F.col("_shingles"), _by_kind(kinds, "n_bands"))).alias("b")).select("_key", "kind", "start_word", "_shingles", "b.band", "b.least")
+    table = spark.createDataFrame([(x.number, t.name, t.shingles) for x in kinds for t in x.templates], "kind int, license string, _template array<string>")
+    table = table.select("kind", "license", "_template", F.explode(_minima(F.col("_template"), _by_kind(kinds, "n_bands"))).alias("b")).select("kind", "license", "_template", "b.band", "b.least")
+    small = sum(len(s) * x.n_bands for x in kinds for t in x.templates for s in t.shingles) <= BROADCAST_CHARS
+    met = banded.join(F.broadcast(table) if small else table, ["kind", "band", "least"])
+    share = F.size(F.array_intersect("_shingles", "_template")) / F.size("_template")
+    found = met.select("_key", "license", share.alias("containment"), "start_word").where(F.col("containment") >= containment - 1e-9)
+    best = found.groupBy("_key", "license").agg(F.max("containment").alias("containment"), F.max_by("start_word", F.struct("containment", -F.col("start_word"))).alias("start_word"))
     return best.select(F.col("_key").alias(key), "license", "containment", "start_word")
 
 
@@ -129,25 +176,3 @@ def _contains_any(text: str, words: list[str]) -> Column:
     for w in words:
         out = out | F.col(text).contains(w)
     return out
-
-
-def _class(spark: SparkSession, worded: DataFrame, templates: list[Template], needed: dict[str, set[str]], kind: tuple[int, int], containment: float) -> DataFrame:
-    """The matches of templates of one shingle length and one class of lengths."""
-    k, span = kind
-    stride = -(-span // 2)
-    size = span + stride
-    least = min(len(t.shingles) for t in templates)
-    similarity = containment * least / (size - k + 1 + (1 - containment) * least)
-    n_bands = bands_for(similarity)
-    anchors = F.array(*[F.lit(w) for w in sorted(set().union(*(needed[t.name] for t in templates)))])
-    starts = F.sequence(F.lit(0), F.greatest(F.size("_words") - 1, F.lit(0)), F.lit(stride))
-    windows = worded.where(F.arrays_overlap("_words", anchors)).select("_key", F.explode(F.transform(starts, lambda i: F.struct(i.cast("long").alias("start"), F.slice("_words", i + 1, F.lit(size)).alias("words")))).alias("w"))
-    windows = windows.select("_key", F.col("w.start").alias("start_word"), F.col("w.words").alias("_window")).where(F.arrays_overlap("_window", anchors))
-    hashed = windows.select("_key", "start_word", _shingles("_window", k).alias("_shingles")).where(F.size("_shingles") > 0)
-    banded = hashed.select("_key", "start_word", "_shingles", F.explode(_minima("_shingles", n_bands)).alias("b")).select("_key", "start_word", "_shingles", "b.band", "b.least")
-    table = spark.createDataFrame([(t.name, t.shingles) for t in templates], "license string, _template array<string>")
-    table = table.select("license", "_template", F.explode(_minima("_template", n_bands)).alias("b")).select("license", "_template", "b.band", "b.least")
-    # The templates are a list given with the call: their table is as small as the plan itself.
-    met = banded.join(F.broadcast(table), ["band", "least"])
-    share = F.size(F.array_intersect("_shingles", "_template")) / F.size("_template")
-    return met.select("_key", "license", share.alias("containment"), "start_word").where(F.col("containment") >= containment - 1e-9)

@@ -2,11 +2,12 @@
 
 The key of a rule is its host's labels in reverse, a mark, and its path, so that a rule covers an
 interval of keys: those that begin with its own. Urls get the key of each ancestor host that is as
-deep as some rule's. Rules and urls are sorted together; the rule last passed brings the stack of
-the rules that enclose it, and of these the longest that still covers the url wins.
+deep as some rule's. Rules and urls are sorted together, and the sweep over them keeps a stack of the
+rules that may still be open: for each length of rule keys the one that it passed last. Of these the
+longest that covers the url wins.
 
-Intervals are nested or apart. So every rule that covers a url also covers the last rule passed, or
-is that rule: the stack holds it.
+Intervals are nested or apart. A rule that covers a url is the last of its length that was passed:
+all keys between it and the url begin with it, so another one of its length would be equal to it.
 """
 
 from __future__ import annotations
@@ -51,20 +52,11 @@ def _key(host: Column, path: Column, depth: int) -> Column:
     return F.when((F.size(labels) >= depth) & (host != ""), F.concat(F.array_join(F.reverse(last), "."), F.lit(_MARK), path))
 
 
-def _begins(key: Column):
-    return lambda entry: key.startswith(entry["key"])
-
-
-def rule_stacks(rules: DataFrame) -> DataFrame:
-    """(depth, key, stack): for each rule key the rules that enclose it, itself included, as (size, key, rule, verdict). Equal rules with two verdicts: block wins."""
-    keyed = rules.select(
-        F.size(F.split("host", r"\.")).alias("depth"), F.concat(F.array_join(F.reverse(F.split("host", r"\.")), "."), F.lit(_MARK), "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict"
-    )
-    keyed = keyed.groupBy("depth", "key", "rule").agg(F.max("verdict").alias("verdict"))
-    starts = keyed.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substring("key", F.lit(1), n))).alias("outer"))
-    outer = keyed.select(F.col("key").alias("outer"), F.struct(F.length("rule").alias("size"), F.col("key"), "rule", "verdict").alias("entry"))
-    stacks = starts.join(outer, "outer").groupBy("key").agg(F.sort_array(F.collect_list("entry")).alias("stack"))
-    return keyed.select("depth", "key").join(stacks, "key")
+def keyed_rules(rules: DataFrame) -> DataFrame:
+    """(depth, key, size, rule, verdict) of each rule. Equal rules with two verdicts: block wins."""
+    labels = F.split("host", r"\.")
+    keyed = rules.select(F.size(labels).alias("depth"), F.concat(F.array_join(F.reverse(labels), "."), F.lit(_MARK), "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict")
+    return keyed.groupBy("depth", "key", "rule").agg(F.max("verdict").alias("verdict")).withColumn("size", F.length("rule"))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, depths: list[int], url: str = "url", default: str = "allow") -> DataFrame:
@@ -77,35 +69,47 @@ def filter_urls(pages: DataFrame, rules: DataFrame, depths: list[int], url: str
 
     Rows are dealt to as many sweeps as there are shuffle partitions, by a row number and not by
     their key, so that a hot host or url is spread evenly; every sweep gets all rules, whose number
-    should stay below that of its urls. Null urls and those without :// have an empty host and path;
+    should stay below that of its urls. The stack has a place for each length of rule keys: a list of
+    lengths, bounded by the longest rule, is all that the driver learns of the rules.
+
+    Null urls and those without :// have an empty host and path; very long urls are judged whole;
     repeated rows are kept; an empty table gives an empty one; input columns named as results are
-    replaced.
+    replaced, others may have any name.
     """
     n_sweeps = shuffle_partitions(pages.sparkSession)
     pages = without(pages, "host", "path", "rule", "verdict")
     columns = pages.columns
+    keyed = keyed_rules(rules)
+    lengths: dict[int, list[int]] = {}
+    for r in keyed.select("depth", F.length("key").alias("n")).distinct().collect():
+        lengths.setdefault(r["depth"], []).append(r["n"])
     host, path = url_host(F.col(url)), url_path(F.col(url))
     urls = pages.select(F.struct(*columns).alias("_row"), host.alias("host"), path.alias("path"), F.pmod(F.monotonically_increasing_id(), F.lit(n_sweeps)).cast("int").alias("_sweep"))
-    urls = urls.select("*", *[_key(F.col("host"), F.col("path"), d).alias(f"_key{d}") for d in depths], F.lit(None).cast("array<struct<size:int,key:string,rule:string,verdict:string>>").alias("_stack"), F.lit(1).alias("_late"))
-    stacks = rule_stacks(rules).select(
+    urls = urls.select("*", *[_key(F.col("host"), F.col("path"), d).alias(f"_key{d}") for d in depths], F.lit(None).cast("struct<size:int,key:string,rule:string,verdict:string>").alias("_entry"))
+    passing = keyed.select(
         F.lit(None).cast(urls.schema["_row"].dataType).alias("_row"),
         F.lit(None).cast("string").alias("host"),
         F.lit(None).cast("string").alias("path"),
         F.explode(F.sequence(F.lit(0), F.lit(n_sweeps - 1))).alias("_sweep"),
         *[F.when(F.col("depth") == d, F.col("key")).alias(f"_key{d}") for d in depths],
-        F.col("stack").alias("_stack"),
-        F.lit(0).alias("_late"),
+        F.struct("size", "key", "rule", "verdict").alias("_entry"),
     )
-    swept = union_all([urls, stacks])
+    swept = union_all([urls, passing])
     best = []
     for d in depths:
-        sweep = Window.partitionBy("_sweep").orderBy(F.col(f"_key{d}").asc_nulls_first(), "_late").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        passed = F.last(F.when(F.col(f"_key{d}").isNotNull(), F.col("_stack")), ignorenulls=True).over(sweep)
-        covers = F.filter(F.col(f"_stack{d}"), _begins(F.col(f"_key{d}")))
-        swept = swept.withColumn(f"_stack{d}", passed).withColumn(f"_best{d}", F.try_element_at(covers, F.lit(-1)))
+        key = F.col(f"_key{d}")
+        sweep = Window.partitionBy("_sweep").orderBy(key.asc_nulls_first(), F.col("_entry").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # From the innermost rule outwards: a null entry is of another depth or length, and is passed over.
+        stack = [F.last(F.when(key.isNotNull() & (F.length("_entry.key") == n), F.col("_entry")), ignorenulls=True).over(sweep).alias(f"_open{d}_{n}") for n in sorted(lengths.get(d, ()), reverse=True)]
+        names = [f"_open{d}_{n}" for n in sorted(lengths.get(d, ()), reverse=True)]
+        if not names:
+            continue
+        swept = swept.select("*", *stack)
+        covering = F.coalesce(*[F.when(key.startswith(F.col(f"{n}.key")), F.col(n)) for n in names])
+        swept = swept.withColumn(f"_best{d}", covering).drop(*names)
         best.append(F.struct(F.col(f"_best{d}.size").alias("size"), F.lit(d).alias("depth"), F.col(f"_best{d}.rule").alias("rule"), F.col(f"_best{d}.verdict").alias("verdict")))
     won = F.array_max(F.filter(F.array(*best), lambda e: e["size"].isNotNull())) if best else F.lit(None).cast("struct<rule:string,verdict:string>")
-    swept = swept.where("_late = 1").withColumn("_won", won)
+    swept = swept.where(F.col("_entry").isNull()).withColumn("_won", won)
     return swept.select(*[F.col("_row").getField(c).alias(c) for c in columns], "host", "path", F.col("_won.rule").alias("rule"), F.coalesce("_won.verdict", F.lit(default)).alias("verdict"))
 
 

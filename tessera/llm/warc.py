@@ -20,7 +20,7 @@ MAGIC = b"WARC/1.0\r\n"
 _END = "\r\n\r\n"
 #: Smaller payloads are always written whole.
 MIN_SHARED_BYTES = 100
-#: A header longer than this can't be one of ours: a candidate without an end of header so far on is none.
+#: A candidate without an end of its header so far on is none, unless the chain leads to it: then the archive is refused.
 _MAX_HEADER = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 SCHEMA = "file string, at long, next long, kind string, id string, refers_to string, uri string, declared_digest string, payload binary"
@@ -92,6 +92,8 @@ class _Candidate:
             self.head += data
             end = self.head.find(_END.encode())
             if end < 0:
+                if self.wanted and len(self.head) > _MAX_HEADER:
+                    raise ValueError(f"the header of the record at {self.at} has no end within {_MAX_HEADER} bytes")
                 return len(self.head) > _MAX_HEADER
             self.fields = _header(self.head[:end])
             if self.fields is None:
