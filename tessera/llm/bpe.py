@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, shuffle_partitions, utf8, without
+from tessera.llm.common import cut, packed, shuffle_partitions, unpacked, utf8, without
 
 #: UTF-8 bytes of text in a block, about.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Words whose ids a task remembers at once; beyond it starts anew, so that its memory is bounded however many words a bucket has.
 KNOWN_WORDS = 1 << 20
 #: Token tables up to so many rows and bytes are held by every task.
@@ -255,6 +255,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keys: tuple[str, ...]
             before = np.concatenate([[0], np.cumsum(size[ranks])])
             lists = pa.ListArray.from_arrays(pa.array(before[np.concatenate([[0], ends])].astype(np.int32)), pa.array(flat))
             out.append(pa.table([columns.column(k).combine_chunks() if isinstance(columns.column(k), pa.ChunkedArray) else columns.column(k) for k in keys] + [lists], names=[*keys, "ids"]))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(out) if out else pa.table({k: pa.array([], t) for k, t in empty})
 
     result = T.StructType([*schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -299,16 +300,17 @@ def decode(tokens: DataFrame, table: DataFrame, ids: str = "ids", most_rows: int
         number, token = pa.array([r[0] for r in shared.value], pa.int32()), pa.array([r[1] for r in shared.value], pa.large_binary())
         for batch in batches:
             lists, at = batch.column(1), 0
-            # What is decoded at once stays within some 64 MB, or is one row.
+            # What is decoded at once stays within some 16 MB, or is one row.
             weight = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
             while at < batch.num_rows:
-                end = max(at + 1, int(np.searchsorted(weight, (weight[at - 1] if at else 0) + (4 << 20), side="right")))
+                end = max(at + 1, int(np.searchsorted(weight, (weight[at - 1] if at else 0) + (1 << 20), side="right")))
                 part = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([part.column(0), _glue(part.column(1), number, token).cast(pa.binary())], names=["row", "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _glue(part.column(1), number, token).cast(pa.binary())], names=["row", "text", "decoded"])
+                pa.default_memory_pool().release_unused()
                 at = end
 
-    packed = tokens.select(F.struct(*tokens.columns).alias("row"), F.col(ids).cast("array<int>").alias("ids"))
-    return packed.mapInArrow(join, T.StructType([packed.schema["row"], T.StructField("decoded", T.BinaryType())])).select("row.*", "decoded")
+    both = packed(tokens, ids)
+    return unpacked(both.mapInArrow(join, T.StructType([*both.schema.fields, T.StructField("decoded", T.BinaryType())])), tokens, ids, "decoded")
 
 
 def _decode_by_shuffle(tokens: DataFrame, table: DataFrame, ids: str) -> DataFrame:
