@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,26 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def reference(child: str, parent: str, through: str | None = None) -> Column:
+    """The condition of a join that a foreign key of child names; through tells several keys apart."""
+    keys = [(c, p) for c, (t, p) in TABLES[child].foreign.items() if t == parent and through in (None, c)]
+    if len(keys) != 1:
+        raise ValueError(f"{child} has {len(keys)} foreign keys to {parent}" + (f" by {through}" if through else ""))
+    return F.col(keys[0][0]) == F.col(keys[0][1])
+
+
+def join_to(spark: SparkSession, sf_dir: str, child: str, *parents: str, how: str = "inner") -> DataFrame:
+    """A table joined with its parents in turn, each by a foreign key of a table that is there already."""
+    out, there = load(spark, sf_dir, child), [child]
+    for parent in parents:
+        owners = [t for t in there if any(p == parent for p, _ in TABLES[t].foreign.values())]
+        if len(owners) != 1:
+            raise ValueError(f"{len(owners)} of {', '.join(there)} refer to {parent}")
+        out = out.join(load(spark, sf_dir, parent), reference(owners[0], parent), how)
+        there.append(parent)
+    return out
+
+
 def relation(spark: SparkSession, namespace: str | None, name: str) -> DataFrame:
     """A table or view whose name is known at run time only."""
     return spark.table(f"{namespace}.{name}" if namespace else name)

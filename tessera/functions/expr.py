@@ -49,6 +49,16 @@ def cast_rounded(c: Column, kind: str) -> Column:
     return F.round(c).cast(kind)
 
 
+def assume_not_null(c: Column) -> Column:
+    """The column as one that holds no null: one that does fails when it is run."""
+    return F.when(c.isNull(), F.raise_error(F.lit("a null in a column that is assumed to hold none"))).otherwise(c)
+
+
+def bytes_concat(*columns: Column) -> Column:
+    """|| of byte strings; null if any is."""
+    return F.concat(*[c.cast("binary") for c in columns])
+
+
 def like(c: Column, pattern: str, escape: str = "\\") -> Column:
     return F.like(c, F.lit(pattern), F.lit(escape))
 

@@ -36,3 +36,26 @@ def date_minus_date(a: Column, b: Column) -> Column:
 def at_time_zone(ts: Column, zone: str) -> Column:
     """A timestamp without a zone, read in that zone, in UTC."""
     return F.convert_timezone(F.lit(zone), F.lit("UTC"), ts)
+
+
+def now() -> Column:
+    """The time at which the query began, without a zone: one value for all rows."""
+    return F.current_timestamp().cast("timestamp_ntz")
+
+
+def today() -> Column:
+    return F.current_date()
+
+
+def intervals_added(a: Column, b: Column, sign: int = 1) -> Column:
+    """a + b, or a - b, of two intervals of days and times or of two of years and months."""
+    return a + b if sign > 0 else a - b
+
+
+def time_plus(time: Column, interval: Column) -> Column:
+    """A time of day, as text HH:MM:SS, and an interval of days and times: it goes round at midnight."""
+    return F.date_format(F.concat(F.lit("1970-01-01 "), time).cast("timestamp_ntz") + interval, "HH:mm:ss")
+
+
+def time_of(ts: Column) -> Column:
+    return F.date_format(ts, "HH:mm:ss")

@@ -7,6 +7,8 @@ folder and names it current, so that readers see the old table or the new one.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,10 +34,10 @@ def insert(old: DataFrame, new: DataFrame, table: Table) -> Change:
     return Change(old.unionByName(rows), rows)
 
 
-def _one_each(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The first of the rows with equal keys, by their other columns."""
+def _one_each(rows: DataFrame, keys: list[str], last: bool = False) -> DataFrame:
+    """The first of the rows with equal keys, by their other columns, or the last."""
     others = [c for c in rows.columns if c not in keys]
-    order = [F.col(c) for c in others] or [F.lit(0)]
+    order = [F.col(c).desc() if last else F.col(c) for c in others] or [F.lit(0)]
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
@@ -46,22 +48,42 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, table: Table, target: tuple
     return Change(old.unionByName(rows), rows)
 
 
-def replace(old: DataFrame, new: DataFrame, table: Table) -> Change:
+def replace(old: DataFrame, new: DataFrame, table: Table, order: Column | None = None) -> Change:
+    """REPLACE: new rows take the place of those with their key; of new rows with one key the last by order (or by their other columns) stays."""
     keys = list(table.key)
-    rows = complete(new, old, table)
+    if order is not None:
+        last = Window.partitionBy(*keys).orderBy(order.desc())
+        new = new.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    rows = _one_each(complete(new, old, table), keys, last=True)
     return Change(old.join(rows.select(*keys), keys, "left_anti").select(*old.columns).unionByName(rows), rows)
 
 
-def upsert(old: DataFrame, new: DataFrame, table: Table, changes: dict[str, Column], target: tuple[str, ...] = ()) -> Change:
-    """ON CONFLICT DO UPDATE SET: changes are over old.column and excluded.column."""
+def _once(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows, which fail when they are read if a key without null stands twice."""
+    whole = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    counted = rows.withColumn("_n", F.when(whole, F.count("*").over(Window.partitionBy(*keys))))
+    return counted.where(F.when(F.col("_n") > 1, F.raise_error(F.lit("a row cannot be affected a second time: two new rows have one key")).cast("boolean")).otherwise(True)).drop("_n")
+
+
+def upsert(old: DataFrame, new: DataFrame, table: Table, changes: dict[str, Column], target: tuple[str, ...] = (), target_where: Column | None = None, where: Column | None = None) -> Change:
+    """ON CONFLICT (target) WHERE target_where DO UPDATE SET changes WHERE where.
+
+    changes and where are over old.column and excluded.column. With target_where, which is over the
+    table's columns, only rows that fulfil it can conflict, as with a partial unique index; others
+    are added. Where a conflict's where isn't true the old row stays and isn't returned. Two new
+    rows with one key are an error.
+    """
     keys = list(target or table.key)
     rows = complete(new, old, table)
-    pair = old.alias("old").join(rows.alias("excluded"), [F.col(f"old.{k}") == F.col(f"excluded.{k}") for k in keys], "inner")
-    updated = pair.select(*[changes[c].cast(t).alias(c) if c in changes else F.col(f"old.{c}") for c, t in old.dtypes])
-    added = rows.join(old.select(*keys), keys, "left_anti").select(*old.columns)
-    kept = old.join(rows.select(*keys), keys, "left_anti").select(*old.columns)
-    touched = updated.unionByName(added)
-    return Change(kept.unionByName(touched), touched)
+    apt = F.lit(True) if target_where is None else F.coalesce(target_where, F.lit(False))
+    held, free = old.where(apt), old.where(~apt)
+    new_held, new_free = _once(rows.where(apt), keys), rows.where(~apt)
+    pair = held.alias("old").join(new_held.alias("excluded"), [F.col(f"old.{k}") == F.col(f"excluded.{k}") for k in keys], "inner")
+    hit = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    updated = pair.select(*[F.when(hit, changes[c].cast(t)).otherwise(F.col(f"old.{c}")).alias(c) if c in changes else F.col(f"old.{c}") for c, t in old.dtypes], hit.alias("_hit"))
+    added = new_held.join(held.select(*keys), keys, "left_anti").select(*old.columns).unionByName(new_free)
+    kept = held.join(new_held.select(*keys), keys, "left_anti").select(*old.columns).unionByName(free)
+    return Change(kept.unionByName(updated.drop("_hit")).unionByName(added), updated.where("_hit").drop("_hit").unionByName(added))
 
 
 def update(old: DataFrame, changes: dict[str, Column], where: Column | None = None, keep_old: bool = False) -> Change:
@@ -75,12 +97,17 @@ def update(old: DataFrame, changes: dict[str, Column], where: Column | None = No
     return Change(new.drop("_hit", "old"), returned if keep_old else returned.drop("old"))
 
 
-def update_batch(old: DataFrame, changes: DataFrame, table: Table) -> Change:
-    """One set of changes for each key: null leaves a value as it is."""
-    keys = list(table.key)
-    renamed = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in changes.columns if c not in keys], F.lit(True).alias("_hit"))
+def update_batch(old: DataFrame, changes: DataFrame, table: Table, cleared: dict[str, Column] | None = None) -> Change:
+    """One set of changes for each key: null leaves a value as it is, unless cleared says for the column, over those of changes, that it becomes null."""
+    keys, cleared = list(table.key), cleared or {}
+    renamed = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in changes.columns if c not in keys], *[F.coalesce(x, F.lit(False)).alias(f"_no_{c}") for c, x in cleared.items()], F.lit(True).alias("_hit"))
     joined = old.join(renamed, keys, "left")
-    new = joined.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).cast(t).alias(c) if c in changes.columns and c not in keys else F.col(c) for c, t in old.dtypes], "_hit")
+
+    def value(c: str, kind: str) -> Column:
+        out = F.coalesce(F.col(f"_new_{c}"), F.col(c)) if c in changes.columns and c not in keys else F.col(c)
+        return (F.when(~F.coalesce(F.col(f"_no_{c}"), F.lit(False)), out) if c in cleared else out).cast(kind).alias(c)
+
+    new = joined.select(*[value(c, t) for c, t in old.dtypes], "_hit")
     return Change(new.drop("_hit"), new.where("_hit").drop("_hit"))
 
 

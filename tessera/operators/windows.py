@@ -25,14 +25,13 @@ def groups_between(df: DataFrame, partition: list[str], order: list[Column], sta
 def excluding(df: DataFrame, partition: list[str], order: list[Column], frame: tuple[str, int, int], exclude: str, value: Column, fold: Callable[[Column], Column], name: str) -> DataFrame:
     """fold of the array of value over a frame (kind, start, end) less the current row, its group or its ties.
 
-    The frame's values are gathered for each row, so it suits frames of bounded width; use
-    without_current() for sums and counts over wide ones.
+    The frame's values are gathered for each row, so it suits frames of bounded width and folds of
+    any kind; use excluding_sums() for counts, sums and averages. A range takes one column to order by.
     """
     base = Window.partitionBy(*partition).orderBy(*order)
     numbered = df.withColumn("_peer", F.dense_rank().over(base).cast("long")).withColumn("_row", F.row_number().over(base).cast("long")).withColumn("_value", value)
     kind, start, end = frame
-    by = {"rows": "_row", "groups": "_peer"}[kind]
-    ordered = Window.partitionBy(*partition).orderBy(by)
+    ordered = base if kind == "range" else Window.partitionBy(*partition).orderBy({"rows": "_row", "groups": "_peer"}[kind])
     over = ordered.rangeBetween(start, end)
     gathered = numbered.withColumn("_frame", F.collect_list(F.struct("_peer", "_row", "_value")).over(over))
     keep = {
@@ -45,6 +44,32 @@ def excluding(df: DataFrame, partition: list[str], order: list[Column], frame: t
     return gathered.withColumn(name, fold(values)).drop("_peer", "_row", "_value", "_frame")
 
 
+def excluding_sums(df: DataFrame, partition: list[str], order: list[Column], frame: tuple[str, int, int], exclude: str, value: Column, count: str, total: str) -> DataFrame:
+    """df with the count and the sum of the values, nulls aside, over a frame (rows, groups or range; start; end) less the current row, its group or its ties.
+
+    Sums over the frame less those over what is excluded: no frame is gathered, so frames of any
+    width do. Sums of doubles may differ in their last digits from those added up without the
+    excluded rows. A range takes one numeric column to order by.
+    """
+    base = Window.partitionBy(*partition).orderBy(*order)
+    numbered = df.withColumn("_value", value).withColumn("_peer", F.dense_rank().over(base).cast("long")).withColumn("_row", F.row_number().over(base).cast("long"))
+    kind, start, end = frame
+    by_row = Window.partitionBy(*partition).orderBy("_row")
+    over = {"rows": by_row, "groups": Window.partitionBy(*partition).orderBy("_peer"), "range": base}[kind]
+    over = over.rowsBetween(start, end) if kind == "rows" else over.rangeBetween(start, end)
+    # Of a row's group, what the frame holds: by rows a part of it, else all of it or nothing.
+    peers = Window.partitionBy(*partition, "_peer").orderBy("_row")
+    peers = peers.rowsBetween(start, end) if kind == "rows" else peers.rowsBetween(UNBOUNDED_PRECEDING, UNBOUNDED_FOLLOWING)
+    inside = start <= 0 <= end
+    row = lambda x: x if inside else F.lit(0)
+    group = lambda x: F.coalesce(x.over(peers), F.lit(0)) if inside or kind == "rows" else F.lit(0)
+    one, own = F.col("_value").isNotNull().cast("long"), F.coalesce("_value", F.lit(0))
+    gone_n = {"no others": F.lit(0), "current": row(one), "group": group(F.count("_value")), "ties": group(F.count("_value")) - row(one)}[exclude]
+    gone = {"no others": F.lit(0), "current": row(own), "group": group(F.sum("_value")), "ties": group(F.sum("_value")) - row(own)}[exclude]
+    counted = numbered.withColumn("_n", F.count("_value").over(over) - gone_n).withColumn("_sum", F.coalesce(F.sum("_value").over(over), F.lit(0)) - gone)
+    return counted.withColumn(count, F.col("_n").cast("long")).withColumn(total, F.when(F.col("_n") > 0, F.col("_sum"))).drop("_value", "_peer", "_row", "_n", "_sum")
+
+
 def array_sum(values: Column) -> Column:
     """The sum of the elements that aren't null; null without any."""
     some = F.array_compact(values)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Query:
-    """filter() and or_filter() add to WHERE and having() to HAVING; order(), select(), limit() and offset() replace, then_order_by() appends."""
+    """filter() and or_filter() add to WHERE; having(), order(), select(), limit() and offset() replace, then_order_by() appends."""
 
     source: DataFrame
     where: Column | None = None
@@ -50,7 +50,7 @@ class Query:
         return replace(self, aggregates=aggregates)
 
     def having(self, condition: Column) -> Query:
-        return replace(self, post=condition if self.post is None else self.post & condition)
+        return replace(self, post=condition)
 
     def select(self, *columns: str | Column) -> Query:
         return replace(self, columns=columns)
@@ -82,7 +82,7 @@ class Query:
         return self.limit(1).run().agg((F.count("*") > 0).alias("exists"))
 
     def paginate(self, page: int, size: int, total: str = "total") -> DataFrame:
-        """A page of rows, each with the number of all of them."""
+        """A page of rows, each with the number of all of them. The source is read for the page and for the number: write a costly one first."""
         rows = self.run()
         return rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias(total)))).orderBy(*self.ordering).offset((page - 1) * size).limit(size)  # one row
 
@@ -114,6 +114,13 @@ def dynamic_select(df: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in fields])
 
 
+def try_grouped_by(parents: DataFrame, children: DataFrame, key: str, foreign: str, into: str, order: str) -> DataFrame:
+    """grouped_by() that fails when it is run if a child refers to a parent that isn't there; without a reference it is left out."""
+    orphan = children.where(F.col(foreign).isNotNull()).join(parents.select(F.col(key).alias(foreign)), foreign, "left_anti").limit(1)
+    refused = orphan.select(F.raise_error(F.concat(F.lit("a child refers to no parent: "), F.col(foreign).cast("string"))).cast(parents.schema[key].dataType).alias(key))
+    return grouped_by(parents, children, key, foreign, into, order).join(refused, key, "left_anti")
+
+
 def grouped_by(parents: DataFrame, children: DataFrame, key: str, foreign: str, into: str, order: str) -> DataFrame:
     """Each parent with the array of its children, in order; an empty one without children."""
     nested = children.groupBy(foreign).agg(F.sort_array(F.collect_list(F.struct(order, *[c for c in children.columns if c not in (order, foreign)]))).alias(into))

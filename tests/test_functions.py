@@ -1,5 +1,8 @@
 """Semantics that the tables don't show: nulls, empty values, errors, files and versions."""
 
+import random
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,3 +144,119 @@ def test_change_stream(spark, tmp_path):
 def test_schema_tools(spark):
     a, b = spark.createDataFrame([], "x long, y string"), spark.createDataFrame([], "x string, z long")
     assert catalog.schema_diff(a, b) == {"added": ["z"], "dropped": ["y"], "changed": ["x"]} and catalog.describe(a)[0] == ("x", "bigint", True)
+
+
+def test_having_replaces(spark):
+    df = spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "k int, v int")
+    q = Query(df).group_by("k").aggregate(F.count("*").alias("n")).having(F.col("n") > 5)
+    assert [r.k for r in q.having(F.col("n") == 1).run().collect()] == [2]
+
+
+def test_new_rows_with_one_key(spark):
+    table = catalog.Table("t", ("k",))
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (None, "x")], "k int, v string")
+    new = spark.createDataFrame([(1, "c"), (1, "d"), (3, "e"), (None, "y"), (None, "z")], "k int, v string")
+    got = {(r.k, r.v) for r in dml.replace(old, new, table, order=F.when(F.col("v") == "c", 9).otherwise(1)).table.where("k is not null").collect()}
+    assert got == {(1, "c"), (2, "b"), (3, "e")}
+    assert {(r.k, r.v) for r in dml.replace(old, new, table).table.where("k is not null").collect()} == {(1, "d"), (2, "b"), (3, "e")}
+    with pytest.raises(Exception, match="second time"):
+        dml.upsert(old, new, table, {"v": F.col("excluded.v")}).table.collect()
+    once = dml.upsert(old, new.where("v <> 'd'"), table, {"v": F.col("excluded.v")})
+    assert sorted(((r.k, r.v) for r in once.table.collect()), key=repr) == sorted([(1, "c"), (2, "b"), (3, "e"), (None, "x"), (None, "y"), (None, "z")], key=repr)
+
+
+@pytest.mark.parametrize("kind", ["rows", "groups", "range"])
+@pytest.mark.parametrize("bounds", [(-2, 1), (1, 2), (-3, -1), (0, 0)])
+def test_sums_with_exclusions_by_brute_force(spark, kind, bounds):
+    r = random.Random(1)
+    rows = [(g, o, i, r.choice([None, 1.0, 2.5, 4.0])) for g in range(3) for i, o in enumerate(sorted(r.randrange(6) for _ in range(9)))]
+    df = spark.createDataFrame(rows, "g int, o int, i int, v double")
+    start, end = bounds
+    for exclude in ("current", "group", "ties", "no others"):
+        # Rows are told apart by i in their order, except where peers matter.
+        order = [F.col("o")] if kind != "rows" else [F.col("o"), F.col("i") * 0]
+        got = windows.excluding_sums(df, ["g"], order, (kind, start, end), exclude, F.col("v"), "n", "s")
+        place = {}
+        if kind == "rows":
+            numbered = df.withColumn("p", F.row_number().over(windows.Window.partitionBy("g").orderBy(*order)))
+            place = {(x.g, x.i): x.p for x in numbered.collect()}
+        for x in got.collect():
+            held = []
+            for g, o, i, v in rows:
+                if g != x.g:
+                    continue
+                peers = sorted({q for h, q, _, _ in rows if h == g})
+                gap = {"rows": lambda: place[g, i] - place[x.g, x.i], "groups": lambda: peers.index(o) - peers.index(x.o), "range": lambda: o - x.o}[kind]()  # noqa: B023
+                same, me = o == x.o, i == x.i
+                gone = {"current": me, "group": same, "ties": same and not me, "no others": False}[exclude]
+                if start <= gap <= end and not gone and v is not None:
+                    held.append(v)
+            assert (x.n, x.s) == (len(held), sum(held) if held else None), (exclude, x)
+
+
+def test_keys_and_paths_of_json(spark):
+    has = lambda j, k: one(spark, jsonfns.has_key(F.lit(j), k))
+    assert has('["a", "b"]', "a") and not has("[1]", "1") and has('"a"', "a") and not has("7", "7") and not has("no json", "a") and has(None, "a") is None
+    assert one(spark, jsonfns.has_all_keys(F.lit('["a", "b", 1]'), ["a", "b"])) and not one(spark, jsonfns.has_any_key(F.lit("[1, null]"), ["a"]))
+    odd = F.lit('{"a.b": {"c[0]": 1, "it\'s": [2]}}')
+    assert one(spark, jsonfns.text_at(odd, "a.b", "c[0]")) == "1" and one(spark, jsonfns.text_at(odd, "a.b", "it's", 0)) == "2" and one(spark, jsonfns.object_at(odd, "a.b", "it's")) == "[2]"
+    place = lambda t: one(spark, jsonfns.error_position(F.lit(t)))
+    assert place("NaN") == 1 and place('{"a": -Infinity}') == 7 and place('["NaN", 1]') == 0 and place("[1,]") == 4
+    edit = lambda f, *changes: one(spark, f(F.lit('{"a":[1,2],"b":{}}'), *changes))
+    assert edit(jsonfns.insert_paths, ("$.a[#]", "3"), ("$.a[0]", "9"), ("$.b.c.d", "1"), ("$.b.e", "null")) == '{"a":[1,2,3],"b":{"e":null}}'
+    assert edit(jsonfns.replace_paths, ("$.a[#-1]", "9"), ("$.x", "1"), ("$.a[7]", "1")) == '{"a":[1,9],"b":{}}' and edit(jsonfns.set_paths, ("$", "7")) == "7"
+    assert edit(jsonfns.remove_paths, "$.a[0]", "$.a[0]", "$.z") == '{"a":[],"b":{}}' and edit(jsonfns.remove_paths, "$") is None
+    with pytest.raises(ValueError, match="bad JSON path"):
+        jsonfns.set_paths(F.lit("{}"), ("a.b", "1"))
+    assert one(spark, jsonfns.object_of_pairs(F.array(F.lit("a"), F.lit(None).cast("string")))) == '{"a":null}' and one(spark, jsonfns.object_of_pairs(F.array().cast("array<string>"))) == "{}"
+    with pytest.raises(Exception, match="even number"):
+        one(spark, jsonfns.object_of_pairs(F.array(F.lit("a"))))
+
+
+def test_json_aggregates_keep_nulls(spark):
+    df = spark.createDataFrame([(1, 2, "x"), (1, 1, None), (2, 1, None)], "k int, o int, v string")
+    got = {r.k: (r.a, r.f, r.m) for r in df.groupBy("k").agg(jsonfns.group_array(F.col("v"), F.col("o")).alias("a"), jsonfns.group_array(F.col("v"), where=F.col("o") > 1).alias("f"), jsonfns.group_object(F.col("v"), F.col("o")).alias("m")).collect()}
+    assert got == {1: ('[null,"x"]', '["x"]', '{"x":2}'), 2: ("[null]", "[]", "{}")}
+
+
+def test_functions_of_users_see_nulls(spark):
+    df = spark.createDataFrame([(1,), (None,), (3,)], "v int")
+    assert sorted(r.v for r in df.select(udf.scalar(lambda v: repr(v), "string")("v").alias("v")).collect()) == ["1", "3", "None"]
+    assert len({r.v for r in spark.range(5).select(udf.constant(lambda: uuid.uuid4().hex, "string").alias("v")).collect()}) == 5
+    total = udf.aggregate_by(df.withColumn("k", F.lit(None).cast("string")).repartition(3), ["k"], F.col("v"), lambda: 0, lambda s, v: s + (v or 0), lambda a, b: a + b, lambda s: s, "bigint", "n")
+    assert [(r.k, r.n) for r in total.collect()] == [(None, 4)]
+
+
+def test_foreign_keys_lead_joins():
+    with pytest.raises(ValueError, match="0 foreign keys"):
+        catalog.reference("region", "nation")
+
+
+def test_orphans_and_nulls_are_refused(spark):
+    from tessera.plans.query import try_grouped_by
+
+    parents, children = spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(1, 1), (2, 9), (3, None)], "c int, parent int")
+    with pytest.raises(Exception, match="refers to no parent"):
+        try_grouped_by(parents, children, "id", "parent", "kids", "c").collect()
+    assert {r.id: len(r.kids) for r in try_grouped_by(parents, children.where("c <> 2"), "id", "parent", "kids", "c").collect()} == {1: 1, 2: 0}
+    with pytest.raises(Exception, match="assumed to hold none"):
+        parents.select(expr.assume_not_null(F.nullif(F.col("id"), F.lit(2))).alias("v")).collect()
+
+
+def test_text_copies_escape(spark, tmp_path):
+    rows = [(1, "a\tb\nc\\d|"), (2, None), (3, "\\N"), (4, ""), (5, "\\\\|\\t|\\"), (None, "|")]
+    df = spark.createDataFrame(rows, "n int, t string")
+    for delimiter in (None, "|", ","):
+        options = copy.CopyOptions("text", delimiter=delimiter)
+        path = str(tmp_path / f"text{delimiter and ord(delimiter)}")
+        copy.copy_to(df, path, options)
+        assert sorted(map(tuple, copy.copy_from(spark, path, df.schema, options).collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_groups_in_any_order(spark):
+    from tessera.operators.aggregates import By, ordered_list
+
+    df = spark.createDataFrame([(1, "b"), (None, "a"), (2, "c"), (2, "d")], "o int, v string")
+    by = lambda *order: df.agg(ordered_list(F.col("v"), *order).alias("v")).first().v
+    assert by(By(F.col("o"), descending=True), By(F.col("v"))) == ["a", "c", "d", "b"] and by(By(F.col("o"), descending=True, nulls_first=False), By(F.col("v"), descending=True)) == ["d", "c", "b", "a"]
+    assert by(By(F.col("o")), By(F.col("v"))) == ["b", "c", "d", "a"] and by(By(F.col("o"), nulls_first=True), By(F.col("v"))) == ["a", "b", "c", "d"]
