@@ -575,9 +575,10 @@ def link_documents(docs: DataFrame, measure: Measure | None = None, key: str = "
     """(key, n_shingles, component_id) of every row: the size of its shingle set and the least key that its links reach.
 
     Words are runs of other characters than space and \\x09-\\x0D, A-Z lower-cased. Null and empty
-    texts, and those without words, have the size 0 and link with nothing; copies link. Rows
-    without a key link with nothing and keep a null component; repeated rows are kept; an empty
-    table gives an empty one; other columns are ignored. Shingles and sets are told apart by 64-bit
+    texts, and those without words, have the size 0 and link with nothing; copies link, and so do
+    sets that tie with the threshold; very long texts count whole. Rows without a key link with
+    nothing and keep a null component; repeated rows are kept; an empty table gives an empty one;
+    other columns are ignored, whatever their names. Shingles and sets are told apart by 64-bit
     hashes.
     """
     measure = measure or Measure()

@@ -93,8 +93,9 @@ def text_to_media(docs: DataFrame, text: str = "text", media: str = "media") ->
     """docs with the text replaced by a WAV column and n_bytes, the length of its UTF-8.
 
     The payload is that UTF-8 with bytes 255 up to a positive multiple of UNIT; null counts as
-    empty. Repeated rows are kept, an empty table gives an empty one, and input columns that are
-    named as results are replaced.
+    empty; very long texts make one file each, whole. Repeated rows are kept, equal texts give equal
+    files, an empty table gives an empty one, and input columns that are named as results are
+    replaced.
     """
     docs = without(docs, *{media, "n_bytes"} - {text})
 
@@ -112,7 +113,7 @@ def text_to_media(docs: DataFrame, text: str = "text", media: str = "media") ->
 
 
 def fingerprint(table: DataFrame, media: str = "media") -> DataFrame:
-    """table with payload (the samples read back) and fingerprint, an array of (t, code) by t. Null media give null; input columns of those names are replaced."""
+    """table with payload (the samples read back) and fingerprint, an array of (t, code) by t and then code. Of bins of equal power, rounded, the lower is the peak. Null media give null; input columns of those names are replaced."""
     table = without(table, *{"payload", "fingerprint"} - {media})
     entry = T.ArrayType(T.StructType([T.StructField("t", T.IntegerType()), T.StructField("code", T.IntegerType())]))
 

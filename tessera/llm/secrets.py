@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,10 +69,12 @@ def credentials(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
 
 def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
     """Tokens that may be credentials and overlap no base span."""
-    out = []
+    out, starts = [], [a for _, a, _ in spans]
+    ends = list(accumulate((b for _, _, b in spans), max))
     for m in CANDIDATE.finditer(text):
         start, end = m.start(), m.start() + len(m.group().rstrip("."))
-        if end - start >= MIN_ASSIGN and not any(a < end and start < b for _, a, b in spans):
+        before = bisect_left(starts, end)  # so many spans start before the token ends
+        if end - start >= MIN_ASSIGN and not (before and ends[before - 1] > start):
             out.append((start, end))
     return out
 
@@ -209,8 +213,11 @@ def scan_secrets(docs: DataFrame, text: str = "text", sample: int = SAMPLE, thre
     spans are those of base and the candidates that the automata score as credentials (kind format).
     Candidates are all whole runs of MIN_ASSIGN characters and more over the alphabet of assigned
     credentials. The automata are inferred from at most sample distinct credentials and as many other
-    tokens, whole ones, of SAMPLE_CHARS characters at most; if there are no credentials, nothing is added. Null and empty texts have no spans; repeated rows
-    are kept; an empty table gives an empty one; input columns named as results are replaced.
+    tokens, whole ones, of SAMPLE_CHARS characters at most; if there are no credentials, nothing is
+    added. Null and empty texts have no spans; very long texts are scanned whole; spans that start
+    together stand in the order of their kinds; a ratio that ties with the threshold makes a span;
+    repeated rows are kept; an empty table gives an empty one; input columns named as results are
+    replaced.
     """
     found = cut(extract(without(docs, *{"spans"} - {text}), text), "tokens")
     secret = _least(found.select(F.explode("tokens").alias("token")), sample)

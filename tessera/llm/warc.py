@@ -43,7 +43,9 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", uri: str =
 
     The first page of equal payloads is a response, the others are revisits that refer to it and
     hold no payload. Null payloads are empty; a null key or url leaves its value empty; line ends in
-    a url are dropped. Pages with the same least key and payload are all responses.
+    a url are dropped. Pages that tie, with the same least key and payload, are all responses. Very
+    long payloads are written whole, in one record; an empty table makes archives without records;
+    other columns are ignored, whatever their names.
     """
     plain = pages.select(F.col(key).alias("_key"), F.regexp_replace(F.coalesce(F.col(uri).cast("string"), F.lit("")), "[\r\n]", "").alias("_uri"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("_body"))
     planned = plan_records(plain, "_key", "_body", min_bytes)
