@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import cut, packed, shuffle_partitions, unpacked, utf8, without
 
 #: UTF-8 bytes of text in a block, about.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Words whose ids a task remembers at once; beyond it starts anew, so that its memory is bounded however many words a bucket has.
 KNOWN_WORDS = 1 << 20
 #: Token tables up to so many rows and bytes are held by every task.

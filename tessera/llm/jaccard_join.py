@@ -13,7 +13,7 @@ Allocation by cost: a neighbourhood is taken where it is small, and subsets that
 another subset leads to each of its partners. Sets with more are hard; pairs of two hard sets are
 looked for in the costly subsets as well.
 
-Copies are one class. In a few turns the classes of each subset's group are compared with one of
+Copies are one class. In two turns the classes of each subset's group are compared with one of
 them; what that leaves in one component needs no comparison, the rest is compared across components
 where enough subsets are shared. The groups of costly subsets may be large, and their hard classes
 are not paired: those that costly subsets lead to one another, however indirectly, are a family, and
@@ -41,8 +41,6 @@ from tessera.llm.components import components
 
 #: Larger groups of a subset are costly.
 LIMIT = 24
-#: Turns in which each group is compared with one of its classes, before the rest is compared across components.
-TURNS = 4
 #: Bands of sets up to so many shingles are indexed under one-deletion neighbourhoods.
 NEIGHBOURHOOD = 48
 #: Counters of shingles, by which the frequent ones come last, and those in a row.
@@ -586,28 +584,24 @@ def link_documents(docs: DataFrame, measure: Measure | None = None, key: str = "
     first = cut(rows.where(F.col("class").isNotNull() & F.col("_key").isNotNull()).groupBy("class").agg(F.min("_key").alias("first")), "first")
     known = cut(rows.where(F.col("bits").isNotNull()).select("class", "n", "room", "bits").dropDuplicates(["class"]), "known")
     groups = cut(_groups(rows.where(F.col("signatures").isNotNull()).select(F.explode("signatures").alias("signature"), "class"), limit), "groups")
-    edges, found = None, None
-    for turn in range(TURNS):
-        new = _verified(_near(_stars(groups, found, turn), known, measure), docs, first, measure, key, text)
-        new = cut(new, "links")
-        if new.isEmpty():
-            break
-        edges = new if edges is None else edges.unionByName(new)
-        found = cut(components(edges), "found")
-    if edges is None:
-        edges = new
-        found = components(edges)
+    pairs = groups.select("signature", "class")
+
+    def linked(candidates: DataFrame) -> DataFrame:
+        return cut(_verified(_near(candidates, known, measure), docs, first, measure, key, text), "links")
+
+    # One class of each group against the others, first by segments, then by the rare shingles of crowded groups as well.
+    edges = linked(_stars(pairs, None, 0))
+    found = cut(components(edges), "found")
     weak = groups.where("costly").groupBy("class").agg(F.count("*").alias("weak"))
     known = known.join(weak, "class", "left").withColumn("weak", F.coalesce("weak", F.lit(0))).withColumn("hard", F.col("weak") > F.col("room"))
     known = cut(known, "known")
     hard = groups.where("costly").select("signature", "class").join(known.where("hard").select("class"), "class", "left_semi")
     links, rarest = _crowded(hard, known, found, docs, first, measure, key, text)
-    stars = _verified(_near(_stars(rarest, found, TURNS), known, measure), docs, first, measure, key, text)
-    edges = edges.unionByName(links).unionByName(cut(stars, "links"))
+    edges = edges.unionByName(links).unionByName(linked(_stars(pairs.unionByName(rarest.select("signature", "class")), found, 1)))
     found = cut(components(edges), "found")
-    pairs = _across(groups.where("not costly"), known, found, measure).unionByName(_meet(rarest, found, measure)).distinct()
-    more = _verified(_near(pairs, known, measure), docs, first, measure, key, text)
-    found = components(edges.unionByName(more))
+    # What is left in different components is compared where it may be linked.
+    rest = _across(groups.where("not costly"), known, found, measure).unionByName(_meet(rarest, found, measure)).distinct()
+    found = components(edges.unionByName(linked(rest)))
     least = first.join(found.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = cut(least, "least")
     named = least.join(least.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("class", "component_id")
