@@ -403,7 +403,7 @@ def net_query(name: str, build: Callable[[Column], Column], sql: str, mixed: boo
     if mixed:
         plain, address_of = F.concat_ws(".", F.lit("10.0"), (c("user_id") % 200).cast("string"), (c("event_id") % 250).cast("string")), c("event_id") % 250 % 3
         address = lambda: F.when(address_of == 0, F.concat(F.lit("fd00::"), (c("user_id") % 200).cast("string"), F.lit(":1/64"))).when(address_of == 1, plain).otherwise(F.concat(plain, F.lit("/20")))
-    over_table(f"net_{name}", "events", f"WITH e AS (SELECT event_id, user_id % 200 AS u, event_id % 250 AS h FROM events) SELECT event_id, {sql} AS v FROM e", lambda df: df.select("event_id", build(address()).alias("v")))
+    over_table(f"net_{name}", "events", f"WITH e AS (SELECT event_id, user_id % 200 AS u, event_id % 250 AS h FROM events) SELECT event_id, {sql} AS v FROM e", lambda df: df.select("event_id", address().alias("a")).select("event_id", build(c("a")).alias("v")))
 
 
 net_query("family", lambda a: net.family(a), "CASE WHEN h % 3 = 0 THEN 6 ELSE 4 END", mixed=True)

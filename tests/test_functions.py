@@ -260,3 +260,35 @@ def test_groups_in_any_order(spark):
     by = lambda *order: df.agg(ordered_list(F.col("v"), *order).alias("v")).first().v
     assert by(By(F.col("o"), descending=True), By(F.col("v"))) == ["a", "c", "d", "b"] and by(By(F.col("o"), descending=True, nulls_first=False), By(F.col("v"), descending=True)) == ["d", "c", "b", "a"]
     assert by(By(F.col("o")), By(F.col("v"))) == ["b", "c", "d", "a"] and by(By(F.col("o"), nulls_first=True), By(F.col("v"))) == ["a", "b", "c", "d"]
+
+
+def test_networks_by_the_standard_module(spark):
+    import ipaddress
+
+    r = random.Random(2)
+    four = [f"{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}/{r.randrange(33)}" for _ in range(60)]
+    six = [f"{ipaddress.IPv6Address(r.getrandbits(128) & r.getrandbits(128) & (2**128 - 1 << r.choice([0, 40, 100])))}/{r.randrange(129)}" for _ in range(60)] + ["::/0", "::1", "1::/3", "a:0:0:b::c/70", "::ffff:1.2.3.4/120", "0:0:1::", "1:2:3:4:5:6:7:8/64", "1:2:3:4:5:6:0:0"]
+    rows = [(a, r.choice(group if r.random() < 0.9 else four)) for group in (four + ["10.0.0.1", "0.0.0.0/0"], six) for a in group] + [(None, "::1"), ("::1", None)]
+    rows += [(a, str(ipaddress.ip_interface(a).network.supernet()) if ipaddress.ip_interface(a).network.prefixlen else a) for a in four + six]
+    a, b = F.col("a"), F.col("b")
+    table = spark.createDataFrame(rows, "a string, b string").repartition(1).select("a", "b", net.netmask(a).alias("netmask"), net.hostmask(a).alias("hostmask"), net.network(a).alias("network"), net.broadcast(a).alias("broadcast"), net.abbrev(a).alias("abbrev"), net.contained(a, b).alias("contained"), net.contained_or_eq(a, b).alias("or_eq"), net.overlaps(a, b).alias("overlaps"), net.merge(a, b).alias("merge"), net.bit_and(a, b).alias("band"), net.bit_or(a, b).alias("bor"))
+    for x in table.collect():
+        if x.a is None or x.b is None:
+            assert x.contained is None and x.merge is None and x.band is None
+            continue
+        i, j = ipaddress.ip_interface(x.a), ipaddress.ip_interface(x.b)
+        n, m = i.network, j.network
+        assert (x.netmask, x.hostmask, x.network, x.broadcast) == (str(n.netmask), str(n.hostmask), str(n), f"{n.broadcast_address}/{n.prefixlen}"), x.a
+        assert x.abbrev == (str(i.ip) if n.prefixlen == i.max_prefixlen else f"{i.ip}/{n.prefixlen}")
+        same = i.version == j.version
+        within = same and n.subnet_of(m)
+        assert (x.or_eq, x.contained, x.overlaps) == (within, within and n.prefixlen > m.prefixlen, same and n.overlaps(m)), (x.a, x.b)
+        if not same:
+            assert x.merge is None and x.band is None and x.bor is None
+            continue
+        while not m.subnet_of(n):
+            n = n.supernet()
+        assert x.merge == str(n), (x.a, x.b)
+        make = type(i.ip)
+        tail = f"/{max(i.network.prefixlen, j.network.prefixlen)}" if i.version == 4 else ""
+        assert (x.band, x.bor) == (f"{make(int(i.ip) & int(j.ip))}{tail}", f"{make(int(i.ip) | int(j.ip))}{tail}")
