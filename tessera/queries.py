@@ -399,10 +399,15 @@ json_query("error_position", lambda: jsonfns.error_position(F.concat(F.lit("["),
 
 def net_query(name: str, build: Callable[[Column], Column], sql: str, mixed: bool = False) -> None:
     """Over u = user_id % 200 and h = event_id % 250: 10.0.<u>.<h>/24, or, if mixed, fd00::<u>:1/64, 10.0.<u>.<h> and 10.0.<u>.<h>/20 by h % 3."""
-    address = lambda: F.concat(F.lit("10.0."), (c("user_id") % 200).cast("string"), F.lit("."), (c("event_id") % 250).cast("string"), F.lit("/24"))
-    if mixed:
-        plain, address_of = F.concat_ws(".", F.lit("10.0"), (c("user_id") % 200).cast("string"), (c("event_id") % 250).cast("string")), c("event_id") % 250 % 3
-        address = lambda: F.when(address_of == 0, F.concat(F.lit("fd00::"), (c("user_id") % 200).cast("string"), F.lit(":1/64"))).when(address_of == 1, plain).otherwise(F.concat(plain, F.lit("/20")))
+
+    def address() -> Column:
+        plain = F.concat_ws(".", F.lit("10.0"), (c("user_id") % 200).cast("string"), (c("event_id") % 250).cast("string"))
+        if not mixed:
+            return F.concat(plain, F.lit("/24"))
+        kind = c("event_id") % 250 % 3
+        six = F.concat(F.lit("fd00::"), (c("user_id") % 200).cast("string"), F.lit(":1/64"))
+        return F.when(kind == 0, six).when(kind == 1, plain).otherwise(F.concat(plain, F.lit("/20")))
+
     over_table(f"net_{name}", "events", f"WITH e AS (SELECT event_id, user_id % 200 AS u, event_id % 250 AS h FROM events) SELECT event_id, {sql} AS v FROM e", lambda df: df.select("event_id", address().alias("a")).select("event_id", build(c("a")).alias("v")))
 
 
