@@ -203,15 +203,26 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keys: tuple[str, ...]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(pattern)
+        block, held = _Block(chunked), []
+
+        def rows() -> pa.RecordBatch:
+            own = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            out = block.rows(own, compiled, n_buckets)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], names=["part", "block", "body"])
+
         for batch in batches:
-            texts, own = batch.column(0), batch.select(list(batch.schema.names[1:])) if len(keys) else None
-            block, first = _Block(chunked), 0
-            for i, value in enumerate(texts):
+            own, first = batch.select(list(batch.schema.names[1:])), 0
+            for i, value in enumerate(batch.column(0)):
                 block.add(value.as_py())
-                if block.size >= block_bytes or i + 1 == len(texts):
-                    rows = block.rows(own.slice(first, i + 1 - first), compiled, n_buckets)
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "block", "body"])
+                if block.size >= block_bytes:
+                    held.append(own.slice(first, i + 1 - first))
+                    yield rows()
                     block, first = _Block(chunked), i + 1
+            if first < batch.num_rows:
+                held.append(own.slice(first))
+        if held:
+            yield rows()
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, known = shared.value, {}

@@ -47,7 +47,19 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+#: Rows in an Arrow batch of tables that hold whole texts.
+TEXT_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def long_texts(spark: SparkSession) -> None:
+    """Let Arrow batches have TEXT_ROWS rows, in this session, so that those of whole texts stay small; a smaller number that is set stays."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= TEXT_ROWS:
+        spark.conf.set(_BATCH, str(TEXT_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    long_texts(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
