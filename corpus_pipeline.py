@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, jaccard_join, line_dedup, quality
-from tessera.llm.common import cut, read_table
+from tessera.llm.common import cut, long_texts, read_table
 from tessera.llm.queries import RANKS
 
 
@@ -30,6 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts are judged as empty ones, very long ones whole; repeated rows are judged
     alike; a posterior that ties with the threshold keeps its document; no rows give none.
     """
+    long_texts(spark)
     labels = read_table(spark, sf_dir, "labels")
     return beside(docs, lambda d: quality.classify(d, labels).where("keep"), "evidence", "host_rate", "path_rate", "p_good", "keep")
 
@@ -40,6 +41,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row stays: a null text becomes an empty one, as does a text of such lines alone; repeated
     rows count as documents of their own; very long texts and lines are handled whole.
     """
+    long_texts(spark)
     return beside(docs, lambda d: line_dedup.dedup_lines(d).withColumn("n_chars", F.length("text").cast("long")), "n_lines", "n_dropped")
 
 
@@ -49,6 +51,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of repeated rows with one key one stays; rows without a key or without words all stay; sets that
     tie with the similarity link; very long texts count whole.
     """
+    long_texts(spark)
     return jaccard_join.keep_one(docs, jaccard_join.Measure(5, 80, 100))
 
 
@@ -68,6 +71,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
+    long_texts(spark)
     path = public_tokenizers.path(RANKS)
     ids = bpe.encode(docs, path, public_tokenizers.PATTERN, keys=("doc_id", "lang", "source"))
     return bpe.decode(ids, bpe.token_table(spark, path)).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
